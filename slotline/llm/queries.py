@@ -3,8 +3,19 @@
 from __future__ import annotations
 
 from slotline.llm.byte_bpe import op1_byte_bpe
+from slotline.llm.private_data import op9_private_data
 from slotline.llm.quality_rank import op3_quality_rank
 from slotline.llm.quality_rules import op5_quality_rules
+from slotline.llm.secret_scan import op8_secret_scan
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_quality_rank, op5_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_byte_bpe,
+        op3_quality_rank,
+        op5_quality_rules,
+        op8_secret_scan,
+        op9_private_data,
+    )
+}
 ORACLE: dict[str, str] = {}
