@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from slotline.llm.byte_bpe import op1_byte_bpe
+from slotline.llm.order_minhash import op10_order_minhash
 from slotline.llm.private_data import op9_private_data
 from slotline.llm.quality_rank import op3_quality_rank
 from slotline.llm.quality_rules import op5_quality_rules
@@ -16,6 +17,7 @@ QUERIES = {
         op5_quality_rules,
         op8_secret_scan,
         op9_private_data,
+        op10_order_minhash,
     )
 }
 ORACLE: dict[str, str] = {}
