@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from slotline.llm.best_fit import op4_best_fit
 from slotline.llm.byte_bpe import op1_byte_bpe
 from slotline.llm.order_minhash import op10_order_minhash
 from slotline.llm.private_data import op9_private_data
@@ -14,6 +15,7 @@ QUERIES = {
     for f in (
         op1_byte_bpe,
         op3_quality_rank,
+        op4_best_fit,
         op5_quality_rules,
         op8_secret_scan,
         op9_private_data,
