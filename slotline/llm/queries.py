@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from slotline.llm.best_fit import op4_best_fit
 from slotline.llm.byte_bpe import op1_byte_bpe
+from slotline.llm.near_copies import op6_simhash
 from slotline.llm.order_minhash import op10_order_minhash
 from slotline.llm.private_data import op9_private_data
 from slotline.llm.quality_rank import op3_quality_rank
@@ -17,6 +18,7 @@ QUERIES = {
         op3_quality_rank,
         op4_best_fit,
         op5_quality_rules,
+        op6_simhash,
         op8_secret_scan,
         op9_private_data,
         op10_order_minhash,
