@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from slotline.llm.best_fit import op4_best_fit
 from slotline.llm.byte_bpe import op1_byte_bpe
+from slotline.llm.language_crf import op7_language_crf
 from slotline.llm.near_copies import op6_simhash
 from slotline.llm.order_minhash import op10_order_minhash
 from slotline.llm.private_data import op9_private_data
@@ -19,6 +20,7 @@ QUERIES = {
         op4_best_fit,
         op5_quality_rules,
         op6_simhash,
+        op7_language_crf,
         op8_secret_scan,
         op9_private_data,
         op10_order_minhash,
