@@ -5,6 +5,7 @@ from __future__ import annotations
 from slotline.llm.best_fit import op4_best_fit
 from slotline.llm.byte_bpe import op1_byte_bpe
 from slotline.llm.language_crf import op7_language_crf
+from slotline.llm.lm_score import op2_lm_score
 from slotline.llm.near_copies import op6_simhash
 from slotline.llm.order_minhash import op10_order_minhash
 from slotline.llm.private_data import op9_private_data
@@ -16,6 +17,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_bpe,
+        op2_lm_score,
         op3_quality_rank,
         op4_best_fit,
         op5_quality_rules,
