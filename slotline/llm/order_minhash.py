@@ -97,23 +97,28 @@ def signature(text: Column) -> Column:
             pair = y.isNotNull() & (bucket(y) == bucket(x))
             low, high = F.when(place(x) <= place(y), x).otherwise(y), F.when(place(x) <= place(y), y).otherwise(x)
             hashed = F.when(pair, F.xxhash64(_hash_of(low), _hash_of(high))).otherwise(F.xxhash64(_hash_of(x)))
-            name = F.lpad(F.hex(bucket(x) + BUCKETS // 2), 2, "0")
-            return F.when(first(x, i), F.concat(name, F.substr(F.lpad(F.hex(hashed), 16, "0"), F.lit(1), F.lit(8))))
+            low32 = hashed.bitwiseAND(F.lit(0xFFFFFFFF))
+            return F.when(first(x, i), F.shiftleft(bucket(x) + BUCKETS // 2, 32).bitwiseOR(low32))
 
         return F.filter(F.transform(chosen, entry), lambda e: e.isNotNull())
 
-    empty = F.array().cast("array<string>")
+    empty = F.array().cast("array<bigint>")
     return F.coalesce(_let(selected(text), lambda c: F.when(c.isNotNull(), entries(c))), empty)
 
 
+def as_text(signature_: Column) -> Column:
+    """The entries in hexadecimal, ten digits each: the bucket and its tuple's hash."""
+    return F.array_join(F.transform(signature_, lambda e: F.lpad(F.hex(e), 10, "0")), "")
+
+
 def fingerprints(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Every input row with ``signature``, an array of entries (bucket and tuple hash, in hexadecimal)."""
+    """Every input row with ``signature``, an array of entries (bucket times 2**32 plus tuple hash)."""
     return documents.withColumn("signature", signature(F.coalesce(F.col(text), F.lit(""))))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """The share of equal entries among the buckets that either signature has; 1 for two empty ones."""
-    bucket = lambda e: F.substr(e, F.lit(1), F.lit(2))
+    bucket = lambda e: F.shiftright(e, 32)
     either = F.size(F.array_union(F.transform(a, bucket), F.transform(b, bucket)))
     return F.when(either == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / either)
 
@@ -122,7 +127,8 @@ def successors(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, next): the next lower key, and for the lowest the highest. Keys are dealt by ranges; a window runs in
     each range, and one over the ranges' ends joins them up, so that no task holds all keys."""
     ids = documents.select(key).filter(F.col(key).isNotNull()).distinct()
-    parts = ids.repartitionByRange(F.col(key).desc()).withColumn("part", F.spark_partition_id())
+    # written once: the ranges' bounds come from a sample, so two runs of this plan could deal keys differently
+    parts = written(ids.repartitionByRange(F.col(key).desc()).withColumn("part", F.spark_partition_id()), "ranges")
     inner = parts.withColumn("next", F.lead(key).over(W.partitionBy("part").orderBy(F.col(key).desc())))
     ends = parts.groupBy("part").agg(F.max(key).alias("top"))
     order = W.orderBy("part")
@@ -134,39 +140,43 @@ def successors(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     return joined.select(key, F.coalesce("next", "_after").alias("next"))
 
 
-def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+def against_next(documents: DataFrame) -> DataFrame:
+    """(doc_id, text, edited, own, other, near_next): each text, its edit, both signatures, and its likeness to the next.
+
+    Texts are shuffled once, by doc_id: the exchange serves both the join that hands each document's beginning and
+    signature to the one before it, and the join that takes them up. Of rows that share an id, the least beginning is
+    handed on. A row without an id has no next: its edit only loses its last third, and near_next is 0.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    documents = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
-    sized = documents.select("doc_id", F.length("text").alias("n"))
-    # for each document, what its edit takes from the next one
-    wants = successors(documents).join(sized, "doc_id").select(
+    documents = documents.select("doc_id", text.alias("text"))
+    known = documents.filter(F.col("doc_id").isNotNull())
+    sized = known.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
+    wants = successors(known).join(sized, "doc_id").select(
         F.col("doc_id").alias("for_id"), "next", F.floor(F.col("n") / 3).cast("int").alias("take")
     )
-    given = documents.join(wants, F.col("doc_id") == F.col("next")).select(
-        "for_id", "next", F.substr("text", F.lit(1), F.col("take")).alias("head")
+    given = known.join(wants, F.col("doc_id") == F.col("next")).select(
+        "for_id", F.struct(F.substr("text", F.lit(1), F.col("take")).alias("head"), signature(F.col("text")).alias("after")).alias("given")
     )
-    edited = documents.join(given, F.col("doc_id") == F.col("for_id"), "left").select(
-        "doc_id",
-        "next",
-        F.length("text").cast("long").alias("n_chars"),
-        "text",
-        F.concat(
-            F.substr("text", F.lit(1), F.length("text") - F.floor(F.length("text") / 3).cast("int")),
-            F.coalesce("head", F.lit("")),
-        ).alias("edited"),
+    given = given.groupBy("for_id").agg(F.min("given").alias("given"))
+    third = F.floor(F.length("text") / 3).cast("int")
+    kept = F.substr("text", F.lit(1), F.length("text") - third)
+    paired = known.join(given, F.col("doc_id") == F.col("for_id")).select(
+        "doc_id", "text", F.concat(kept, F.substr("given.head", F.lit(1), third)).alias("edited"), F.col("given.after").alias("after")
+    )
+    alone = documents.filter(F.col("doc_id").isNull()).select(
+        "doc_id", "text", kept.alias("edited"), F.lit(None).cast("array<bigint>").alias("after")
     )
-    own = fingerprints(edited).withColumnRenamed("signature", "own")
-    both = fingerprints(own, "edited").withColumnRenamed("signature", "other")
-    both = both.select("doc_id", "next", "n_chars", "own", "other", F.sha2("edited", 256).alias("edited_sha256"))
-    both = written(both, "fingerprints")
-    after = both.select(F.col("doc_id").alias("_id"), F.col("own").alias("_own")).dropDuplicates(["_id"])
-    joined = both.join(after, F.col("next") == F.col("_id"), "left")
-    return joined.select(
+    both = paired.unionByName(alone).withColumn("own", signature(F.col("text"))).withColumn("other", signature(F.col("edited")))
+    return both.withColumn("near_next", F.coalesce(likeness(F.col("own"), F.col("after")), F.lit(0.0))).drop("after")
+
+
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return against_next(table(spark, sf_dir, "documents")).select(
         "doc_id",
-        "n_chars",
-        "edited_sha256",
-        F.array_join("own", "").alias("fingerprint"),
-        F.array_join("other", "").alias("edited_fingerprint"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        as_text(F.col("own")).alias("fingerprint"),
+        as_text(F.col("other")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("other")).alias("near_edited"),
-        F.coalesce(likeness(F.col("own"), F.col("_own")), F.lit(0.0)).alias("near_next"),
+        "near_next",
     )
