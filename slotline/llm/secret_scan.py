@@ -45,13 +45,16 @@ def scanned(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", "found", apart.alias("candidates"))
 
 
+def pairs(value: Column) -> Column:
+    """The value's characters with their successors, as places in the alphabet (0: other)."""
+    chars = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    last = F.greatest(F.size(chars) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(chars, 1, last).alias("a"), F.slice(chars, 2, last).alias("b"))
+
+
 def steps(words: DataFrame, column: str) -> DataFrame:
-    """Counts of character steps (a, b), as places in the alphabet (0: other)."""
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substr(F.col(column), i, F.lit(1)))
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.length(column) - 1), lambda i: F.struct(place(i).alias("a"), place(i + 1).alias("b"))
-    )
-    return words.filter(F.length(column) >= 2).select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").count()
+    """Counts of character steps (a, b)."""
+    return words.select(F.explode(pairs(F.col(column))).alias("p")).groupBy("p.a", "p.b").count()
 
 
 def ratios(documents: DataFrame, scan: DataFrame, sample: int = SAMPLE) -> list[float]:
@@ -79,11 +82,8 @@ def likely(value: Column, ratio: list[float]) -> Column:
     """The mean log-likelihood ratio of the value's steps."""
     size = len(ALPHABET) + 1
     held = F.split(F.lit(",".join(f"{x:.6f}" for x in ratio)), ",").cast("array<double>")
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substr(value, i, F.lit(1)))
     total = F.aggregate(
-        F.sequence(F.lit(1), F.length(value) - 1),
-        F.lit(0.0),
-        lambda t, i: t + F.element_at(held, (place(i) * size + place(i + 1) + 1).cast("int")),
+        pairs(value), F.lit(0.0), lambda t, p: t + F.element_at(held, (p["a"] * size + p["b"] + 1).cast("int"))
     )
     return total / (F.length(value) - 1)
 
