@@ -33,7 +33,7 @@ from slotline.llm.common import extended, table, written
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 1024
 END = 2  #: the id that closes each document
-MAX_WORDS = 250_000  #: encoded words kept by a worker
+MAX_WORDS = 600_000  #: encoded words kept by a worker (about 0.2 kB each)
 
 
 class WordTable(dict):
@@ -49,7 +49,7 @@ class WordTable(dict):
 
     def encode(self, text: str | None) -> bytes:
         words = split_text(text) if text else []
-        new = [w for w in set(words) if w not in self]
+        new = list(set(words).difference(self))
         if len(self) + len(new) > MAX_WORDS:
             self.clear()
             new = list(set(words))
