@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slotline.operators.ranks import ranked
+
 OBSERVATION = T.StructType(
     [
         T.StructField(
@@ -114,13 +116,13 @@ def burst_classify(events: DataFrame, key: str, window_seconds: int, throttle: i
 def failure_context(log: DataFrame, n: int = 1000) -> DataFrame:
     """For each failure, the n records of its unit before it: (unit, failure, record, back)."""
     rank = F.row_number().over(W.partitionBy("unit").orderBy("ts", "event_id"))
-    ranked = log.withColumn("rn", rank).select("unit", "event_id", "failed", "rn")
+    numbered = log.withColumn("rn", rank).select("unit", "event_id", "failed", "rn")
     # a record's block of n ranks, and the one after it, hold every failure that may want it: an equality on the block
     block = F.floor(F.col("rn") / n)
-    failures = ranked.filter("failed").select(
+    failures = numbered.filter("failed").select(
         "unit", F.col("event_id").alias("failure"), F.col("rn").alias("at"), F.explode(F.array(block, block - 1)).alias("b")
     )
-    records = ranked.select("unit", F.col("event_id").alias("record"), "rn", block.alias("b"))
+    records = numbered.select("unit", F.col("event_id").alias("record"), "rn", block.alias("b"))
     found = failures.join(records, ["unit", "b"]).filter(F.col("rn").between(F.col("at") - n, F.col("at") - 1))
     return found.select("unit", "failure", "record", (F.col("at") - F.col("rn")).cast("long").alias("back"))
 
@@ -135,6 +137,6 @@ def resample(samples_: DataFrame, series: list[str], step: str) -> DataFrame:
 def thread_order(messages: DataFrame) -> DataFrame:
     """Messages with their thread's rank (most recent first) and their own rank within it."""
     latest = messages.groupBy("thread").agg(F.max("ts").alias("latest"))
-    ranked = latest.withColumn("thread_rank", F.row_number().over(W.orderBy(F.col("latest").desc(), F.col("thread").asc())))
+    threads = ranked(latest, [F.col("latest").desc(), F.col("thread").asc()], "thread_rank")
     own = F.row_number().over(W.partitionBy("thread").orderBy("ts", "event_id"))
-    return messages.withColumn("message_rank", own).join(ranked.drop("latest"), "thread")
+    return messages.withColumn("message_rank", own).join(threads.drop("latest"), "thread")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from slotline.sources.files import settled
+from slotline.operators.ranks import ranked
 
 
 def keep_last_n(items: DataFrame, n: int, keys: list[str], order: list[str]) -> DataFrame:
@@ -42,23 +42,10 @@ def colliding_keys(items: DataFrame, key: str) -> DataFrame:
 
 
 def newest_first(names: DataFrame, times: DataFrame, key: str) -> DataFrame:
-    """Names ranked by last activity, newest first, then by name; without activity the time is 0.
-
-    Ranks are global: rows are dealt by ranges of (time, name), ranked in each, and lifted by the counts of the ranges
-    before, so that no task holds all names.
-    """
+    """Names ranked by last activity, newest first, then by name; without activity the time is 0."""
     last = times.groupBy(key).agg(F.max("at").alias("at"))
     rows = names.join(last, key, "left").select("name", F.coalesce("at", F.lit(0)).alias("last_ts"))
-    order = [F.col("last_ts").desc(), F.col("name").asc()]
-    dealt = settled(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranks")
-    ranked = dealt.withColumn("own", F.row_number().over(W.partitionBy("part").orderBy(*order)))
-    sizes = ranked.groupBy("part").agg(F.max("own").alias("n"))
-    before = sizes.select(
-        F.col("part").alias("p"),
-        F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("lower"),
-    )
-    joined = ranked.join(F.broadcast(before), F.col("part") == F.col("p"))  # one row for each range
-    return joined.select("name", "last_ts", (F.col("own") + F.col("lower")).cast("long").alias("rank"))
+    return ranked(rows, [F.col("last_ts").desc(), F.col("name").asc()])
 
 
 def latest_item(items: DataFrame, key: str, item: str, order: list[str]) -> DataFrame:
