@@ -142,6 +142,8 @@ def pairs_with_pivots(fps: DataFrame, ring: Ring) -> DataFrame:
 
 def pairs_between(fps: DataFrame, ring: Ring) -> DataFrame:
     """Links (a, b) between fingerprints of different groups. ``fps``: fp, grp."""
+    # few bytes become many rows: deal them before they are exploded
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     index = fps.select("fp", "grp", F.explode(ring.keys(False)).alias("k")).select("fp", "grp", "k.start", "k.bits")
     by_group = index.groupBy("start", "bits", "grp").agg(F.count("*").alias("n"))
     large = (
