@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Matches whose spans are listed together.
+CHUNK = 256
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
@@ -38,8 +40,29 @@ def matches(text: Column, pattern: Column | str, kind: int, keep: Callable[[Colu
         ).otherwise(seen["out"])
         return F.struct(end.alias("at"), more.alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), none().alias("out"))
-    return F.when(F.regexp_like(text, pat), F.aggregate(zipped, zero, add, lambda x: x["out"])).otherwise(none())
+    # lists grow by copying, so matches are taken in chunks: each begins where the lengths of those before it end
+    size = F.size(zipped)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / CHUNK).cast("int")), lambda c: F.slice(zipped, c * CHUNK + 1, CHUNK))
+    length = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0))
+    reach = lambda chunk: F.aggregate(chunk, F.lit(0), lambda t, x: t + length(x))
+
+    def spans_of(all_chunks: Column) -> Column:
+        begins = F.aggregate(
+            all_chunks,
+            F.array(F.lit(0)),
+            lambda seen, chunk: F.array_append(seen, F.element_at(seen, -1) + reach(chunk)),
+        )
+
+        def within(starts: Column) -> Column:
+            def one(chunk: Column, i: Column) -> Column:
+                zero = F.struct(F.get(starts, i).alias("at"), none().alias("out"))
+                return F.aggregate(chunk, zero, add, lambda x: x["out"])
+
+            return F.flatten(F.transform(all_chunks, one))
+
+        return F.transform(F.array(begins), within)[0]
+
+    return F.when(F.regexp_like(text, pat), F.transform(F.array(chunks), spans_of)[0]).otherwise(none())
 
 
 def joined(spans: Column, kinds: tuple[str, ...], by: tuple[str, str]) -> Column:

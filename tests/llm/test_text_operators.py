@@ -435,6 +435,12 @@ def test_spans_in_linear_time(spark):
     assert private_data.mark(frame).count() == 1 and secret_scan.secrets(frame).count() == 1
 
 
+def test_many_spans(spark):
+    text = " ".join(f"a{i}@b.c é" for i in range(1500))
+    got = spark.createDataFrame([(1, text)], SCHEMA).select(F.explode(private_data.fixed(F.col("text"))).alias("s")).select("s.*").collect()
+    assert sorted((s.kind, s.start, s.end) for s in got) == private_spans(text)
+
+
 def test_spans_empty(empty):
     assert private_data.mark(empty).count() == 0 and secret_scan.secrets(empty).count() == 0
 
