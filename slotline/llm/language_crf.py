@@ -16,7 +16,6 @@ same name.
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,9 +31,11 @@ SEQUENCES = 4_000
 BUCKETS = 1 << 15
 EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.08, 1e-4
 MAX_WORDS = 300_000  #: words whose scores a worker keeps
-CELLS = 200_000  #: words padded into one batch of chains
+CELLS = 400_000  #: words padded into one batch of chains
+TEXTS = 4096  #: texts sorted by length before they are put into batches
+MARKS = ".,;:!?\"'()[]|*#$%&"
+WIDE = 24  #: letters of a word that features look at
 LETTER = re.compile(r"[^\W\d_]")
-BREAKS = re.compile(r"[ \t-\r]+")
 UNKNOWN = "und"
 
 
@@ -42,19 +43,47 @@ def words_of(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
-def features(word: str) -> list[int]:
-    """Buckets of a word's features."""
-    bare = word.strip(".,;:!?\"'()[]|*#$%&")
-    if not bare:
-        return [0]
-    padded = f"^{bare}$"
-    names = [f"w{bare}", f"p{bare[:2]}", f"p{bare[:3]}", f"s{bare[-2:]}", f"s{bare[-3:]}", f"s{bare[-4:]}"]
-    names += [f"n{padded[i : i + n]}" for n in (1, 2, 3) for i in range(len(padded[:24]) - n + 1)]
-    return sorted({1 + zlib.crc32(x.encode()) % (BUCKETS - 1) for x in names})
+def feature_ids(words: list[str]) -> np.ndarray:
+    """Buckets of words' features, one row per word, 0 where there is none: all 1- to 3-grams with the word's ends
+    marked, its first three and last three and four letters, and the word itself. Of a word over ``WIDE`` letters both
+    ends count."""
+    half = WIDE // 2
+    bare = [w.strip(MARKS) for w in words]
+    bare = [w if len(w) <= WIDE else w[:half] + w[-half:] for w in bare]
+    codes = np.array(bare, dtype=f"<U{WIDE}").view("<u4").reshape(len(words), WIDE).astype(np.uint64)
+    n = np.fromiter(map(len, bare), dtype=np.int64, count=len(bare))
+    marked = np.zeros((len(words), WIDE + 2), dtype=np.uint64)
+    marked[:, 0] = 2
+    marked[:, 1:-1] = codes
+    rows = np.arange(len(words))
+    marked[rows, n + 1] = 3
+    out = []
+    with np.errstate(over="ignore"):
 
+        def bucket(h: np.ndarray, there: np.ndarray) -> np.ndarray:
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = h ^ (h >> np.uint64(32))
+            return np.where(there, (h % np.uint64(BUCKETS - 1)).astype(np.int64) + 1, 0)
 
-def forward_backward(scores: np.ndarray, move: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals [n, t, y], expected transitions [y, y] and log partitions [n]. scores: [n, t, y], padded at the end."""
+        rolled = np.zeros((len(words), WIDE + 2), dtype=np.uint64)
+        for k in (1, 2, 3):
+            width = WIDE + 3 - k
+            rolled = rolled[:, :width] * np.uint64(0x9E3779B97F4A7C15) + marked[:, k - 1 : k - 1 + width] + np.uint64(k)
+            out.append(bucket(rolled, np.arange(width) + k <= n[:, None] + 2))
+        for tag, at, k in ((11, np.zeros_like(n), 4), (12, n - 2, 4), (13, n - 3, 5), (14, None, WIDE)):
+            h = np.full(len(words), tag, dtype=np.uint64)
+            for j in range(k):
+                letter = codes[:, j] if at is None else marked[rows, np.clip(at + j, 0, WIDE + 1)]
+                h = h * np.uint64(0x9E3779B97F4A7C15) + letter
+            out.append(bucket(h, n >= (1 if at is None else k - 1))[:, None])
+    ids = np.concatenate(out, axis=1)
+    ids[n == 0] = 0
+    return ids
+
+
+def forward_backward(scores: np.ndarray, move: np.ndarray, mask: np.ndarray, count: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals [n, t, y], expected transitions [y, y] and log partitions [n]. scores: [n, t, y], padded at the end.
+    ``count``: whether the transitions are wanted."""
     n, t, y = scores.shape
     top = scores.max(axis=2, keepdims=True)
     local = np.exp(scores - top)
@@ -73,7 +102,8 @@ def forward_backward(scores: np.ndarray, move: np.ndarray, mask: np.ndarray) ->
     for k in range(t - 2, -1, -1):
         inner = local[:, k + 1] * after / scale[:, k + 1, None]
         inner = np.where(mask[:, k + 1, None], inner, 0.0)
-        expected += step * (forth[:, k].T @ inner)
+        if count:
+            expected += step * (forth[:, k].T @ inner)
         after = np.where(mask[:, k + 1, None], inner @ step.T, after)
         back[:, k] = after
     marginal = forth * back
@@ -96,7 +126,6 @@ class Model:
             return None
         rng = np.random.default_rng(seed)
         y = len(languages)
-        known: dict[str, list[int]] = {}
         chains, labels = [], []
         for _ in range(SEQUENCES):
             chain, label = [], []
@@ -110,10 +139,9 @@ class Model:
                 label += [lang] * len(part)
             chains.append(chain[:LENGTH])
             labels.append(label[:LENGTH])
-        for chain in chains:
-            for w in chain:
-                if w not in known:
-                    known[w] = features(w)
+        place: dict[str, int] = {}
+        at_word = np.array([[place.setdefault(w, len(place)) for w in chain] for chain in chains])
+        known = feature_ids(list(place))
         gold = np.array(labels)
         weight, move = np.zeros((BUCKETS, y)), np.zeros((y, y))
         moments = [np.zeros_like(weight), np.zeros_like(weight), np.zeros_like(move), np.zeros_like(move)]
@@ -123,11 +151,10 @@ class Model:
             order = rng.permutation(len(chains))
             for at in range(0, len(order) - BATCH + 1, BATCH):
                 picked = order[at : at + BATCH]
-                ids = [known[w] for i in picked for w in chains[i]]
-                flat = np.fromiter((f for x in ids for f in x), dtype=np.int64)
-                word = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-                scores = np.zeros((len(ids), y))
-                np.add.at(scores, word, weight[flat])
+                ids = known[at_word[picked].ravel()]
+                scores = weight[ids].sum(axis=1)
+                word, column = np.nonzero(ids)
+                flat = ids[word, column]
                 marginal, expected, _ = forward_backward(scores.reshape(BATCH, LENGTH, y), move, mask)
                 truth = np.eye(y)[gold[picked]]
                 error = (marginal - truth).reshape(-1, y) / BATCH
@@ -161,7 +188,7 @@ class Labeller:
     def places(self, words: list[str]) -> np.ndarray:
         new = [w for w in set(words) if w not in self.place]
         if new:
-            made = np.array([self.model.weight[features(w)].sum(axis=0) for w in new])
+            made = np.concatenate([self.model.weight[feature_ids(new[k : k + 4096])].sum(axis=1) for k in range(0, len(new), 4096)])
             base = len(self.place)
             self.place.update(zip(new, range(base, base + len(new))))
             while len(self.scores) < base + len(new):
@@ -187,7 +214,7 @@ class Labeller:
             ids, mask = np.zeros((len(part), longest), dtype=np.int64), np.zeros((len(part), longest), dtype=bool)
             for k, (_, x) in enumerate(part):
                 ids[k, : len(x)], mask[k, : len(x)] = x, True
-            marginal, _, _ = forward_backward(self.scores[ids], self.model.move, mask)
+            marginal, _, _ = forward_backward(self.scores[ids], self.model.move, mask, count=False)
             share = (marginal * mask[:, :, None]).sum(axis=1) / mask.sum(axis=1)[:, None]
             for (i, _), s in zip(part, share):
                 best = int(s.argmax())
@@ -218,8 +245,8 @@ def label(documents: DataFrame, model: Model | None) -> DataFrame:
         if _LABELLER.get("of") is not held:
             _LABELLER["of"], _LABELLER["is"] = held, Labeller(held.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
                 got = _LABELLER["is"].predict(part.column(place).to_pylist())
                 columns = [pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())]
                 yield pa.RecordBatch.from_arrays(
