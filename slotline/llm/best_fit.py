@@ -36,28 +36,28 @@ END = 2  #: the id that closes each document
 MAX_WORDS = 600_000  #: encoded words kept by a worker (about 0.2 kB each)
 
 
-class WordTable(dict):
-    """Packed ids of a text through the tokenizer; a bounded table, this dict, holds those of words seen before."""
+class WordTable:
+    """Packed ids of a text through the tokenizer; a bounded table holds those of words seen before."""
 
     def __init__(self, description: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(description)
         self.tokenizer.encode_special_tokens = True  # the strings of special tokens are ordinary text
+        self.known: dict[str, bytes] = {}  #: a plain dict, which set.difference looks words up in
 
     def encode(self, text: str | None) -> bytes:
-        words = split_text(text) if text else []
-        new = list(set(words).difference(self))
-        if len(self) + len(new) > MAX_WORDS:
-            self.clear()
+        words, known = split_text(text) if text else [], self.known
+        new = list(set(words).difference(known))
+        if len(known) + len(new) > MAX_WORDS:
+            known.clear()
             new = list(set(words))
         if new:
             for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
                 ids = found.ids
-                self[word] = struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join(map(self.__getitem__, words))
+                known[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(known.__getitem__, words))
 
 
 _TABLE: dict = {}
