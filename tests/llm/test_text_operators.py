@@ -480,6 +480,51 @@ def test_minhash_awkward(awkward, empty):
     assert order_minhash.against_next(empty).count() == 0
 
 
+def shingled(text, k=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def test_near_duplicates_brute_force(spark, sf, documents, texts):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    base = [t.split() for t in texts.values() if t and 60 <= len(t.split()) <= 400][:40]
+    edited = []
+    for i, words in enumerate(base):
+        for j, rate in enumerate((0.01, 0.02, 0.03, 0.05)):
+            edited.append((50_000 + 10 * i + j, " ".join("changed" if rng.random() < rate else w for w in words)))
+    docs = documents.unionByName(spark.createDataFrame([(i, t, None, None, None) for i, t in edited], FULL))
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    sets = {i: shingled(t) for i, t in rows.items()}
+    holders = collections.defaultdict(list)
+    for i in sorted(sets):
+        for s in sets[i] or {""}:
+            holders[s].append(i)
+    first = {i: i for i in sets}
+
+    def find(x):
+        while first[x] != x:
+            x = first[x]
+        return x
+
+    hard, seen = 0, set()
+    for a, b in ((a, b) for held in holders.values() for a, b in itertools.combinations(held, 2)):
+        if (a, b) in seen:
+            continue
+        seen.add((a, b))
+        both = len(sets[a] & sets[b])
+        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+            hard += (near_copies.fingerprint(rows[a], 5) ^ near_copies.fingerprint(rows[b], 5)).bit_count() > 7
+            x, y = sorted((find(a), find(b)))
+            first[y] = x
+    assert hard > 10  # pairs that a distance of 7 bits does not link
+    got = {r.doc_id: r.component_id for r in corpus_pipeline.near_shingles.linked(docs.select("doc_id", "text")).collect()}
+    assert got == {i: find(i) for i in sets}
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).select("doc_id").collect()}
+    assert kept == {find(i) for i in sets}
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------------
 def test_pipeline(spark, sf, documents):
     import corpus_pipeline
