@@ -106,6 +106,14 @@ def test_lm_counts_and_base(spark, documents):
         assert np.isfinite(r.score) and r.score < 0
 
 
+def test_lm_score_beats_base_on_held_out_texts(spark, documents):
+    docs = documents.select("doc_id", "text", (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1).alias("held_out"))
+    got = [r for r in lm_score.scored(docs, public_tokenizers.path(lm_score.VOCABULARY)).collect() if r.held_out]
+    # the base score gives every unknown word one share, whatever its letters: it is no probability of those texts
+    got = [r for r in got if r.n_known == r.n_tokens and r.n_tokens > 1]
+    assert len(got) > 3 and sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
 def test_lm_empty(empty):
     docs = empty.withColumn("held_out", F.lit(False))
     assert lm_score.scored(docs, public_tokenizers.path(lm_score.VOCABULARY)).count() == 0
@@ -153,6 +161,45 @@ def test_each_token_is_scored_once():
     assert seen == collections.Counter(ids.tolist())
 
 
+def test_first_scored_token_sees_sixteen_back():
+    coding = _coding()
+    model = attention_lm.Model.start(np.full(attention_lm.GROUPS * attention_lm.MEMBERS, 1 / 1024))
+    at = 2 * attention_lm.STRIDE  # the first token that its window scores
+    ids = np.random.default_rng(2).integers(0, 1000, at + 5)
+    plain = attention_lm.token_scores(model, coding, ids, np.array([len(ids)]))[at]
+    for back in range(1, 17):
+        other = ids.copy()
+        other[at - back] = (ids[at - back] + 500) % 1000
+        assert attention_lm.token_scores(model, coding, other, np.array([len(ids)]))[at] != plain
+
+
+@pytest.mark.parametrize("span,stride", [(32, 16), (16, 12)])
+def test_model_beats_shares_on_held_out_texts(monkeypatch, texts, span, stride):
+    lm = attention_lm
+    monkeypatch.setattr(lm, "SPAN", span)
+    monkeypatch.setattr(lm, "STRIDE", stride)
+    monkeypatch.setattr(lm.Model, "SHAPES", {**lm.Model.SHAPES, "near": (span,)})
+    monkeypatch.setattr(lm.Model, "BACK", (span - stride + np.arange(stride))[:, None] - np.arange(span)[None, :])
+    ranks = lm_score.read_ranks(public_tokenizers.path(lm_score.VOCABULARY))
+    subwords = lm_score.Subwords(ranks)
+    coded = {i: subwords.of([w.encode() for w in t.lower().split()])[0] for i, t in texts.items() if t and t.split() and len(t) < 20_000}
+    parts = [[np.append(x, len(ranks)) for i, x in coded.items() if (zlib.crc32(str(i).encode()) % 5 == 1) == held] for held in (False, True)]
+    (ids, lengths), (ids2, lengths2) = [(np.concatenate(p), np.array([len(x) for x in p])) for p in parts]
+    named = [b""] * len(ranks)
+    for token, i in ranks.items():
+        named[i] = token
+    counts = np.bincount(ids, minlength=len(ranks) + 1).astype(float)
+    coding = lm.Coding.from_counts(counts, named)
+    share = np.bincount(coding.classes, weights=counts + 0.5, minlength=lm.GROUPS * lm.MEMBERS) + 1e-9
+    model = lm.Model.start(share / share.sum())
+    before = coding.inputs[np.concatenate([[coding.end], ids[:-1]])]
+    before[np.cumsum(lengths) - lengths] = coding.inputs[coding.end]
+    x, valid, scored, live = lm.gather(before, lm.windows(lengths))
+    lm.train(model, x, valid, coding.classes[ids][scored], live, epochs=2, rate=1e-2)
+    shares = np.log10((counts + 0.5) / (counts + 0.5).sum())
+    assert lm.token_scores(model, coding, ids2, lengths2).mean() > shares[ids2].mean()
+
+
 # --- quality ---------------------------------------------------------------------------------------------------------
 def test_repeated_positions_brute_force():
     rng = random.Random(3)
