@@ -3,10 +3,10 @@
 Method. Words (ASCII lower case) become subword ids of a public vocabulary; a causal self-attention model
 (``attention_lm``) scores every id once in overlapping windows. A word's probability is ``SHARE`` times what the
 attention model gives its ids in context, and for the rest the word's share of all training words. All counts (words,
-ids, tails of classes) cover every training text. The attention weights learn from whole training texts drawn at a
-fixed rate (``RATE``; at least ``FLOOR`` documents), so that what is gathered grows with the corpus: a start on the
-driver from ``WARM`` windows, then ``ROUNDS`` rounds in which every task trains on its own windows and the weights are
-averaged, by their windows, with an aggregation.
+ids, tails of classes) cover every training text, and the attention weights learn from all of them: a start on the
+driver from at most ``WARM`` windows of ``FIRST`` texts, then ``ROUNDS`` rounds in which every task trains on the windows
+of all its training texts and the weights are averaged, by their windows, with an aggregation. Windows are made anew in
+each round, as they would take more disk than the texts.
 
 How it runs. One pass turns texts into blocks of about ``BLOCK`` bytes, each with its own word list and its texts as
 places in that list. Word rows (one per block and distinct word) meet by word in one shuffle for their counts and
@@ -32,7 +32,7 @@ from slotline.llm.common import fold, table, written
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BLOCK = 12_000_000
-RATE, FLOOR = 1 / 40, 2_000
+FIRST = 2_000
 WARM, WARM_EPOCHS, ROUNDS = 6_000, 3, 2
 SHARE = 0.6
 ROWS = 65_536  #: word rows in one Arrow batch
@@ -228,10 +228,11 @@ def fit(documents: DataFrame, counts: np.ndarray, ranks: dict[bytes, int], held)
     share = np.bincount(coding.classes, weights=counts + 0.5, minlength=lm.GROUPS * lm.MEMBERS) + 1e-9
     model = lm.Model.start(share / share.sum())
     sc = documents.sparkSession.sparkContext
-    part = min(1.0, max(RATE, FLOOR / max(1.0, float(counts[-1]))))
-    drawn = documents.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000))
-    windows = written(training_windows(drawn, held, sc.broadcast(coding)), "windows")
-    warm = windows.orderBy(F.xxhash64("x", "y"), "x", "y").limit(WARM).collect()  # a bounded start
+    shared = sc.broadcast(coding)
+    begun = documents.select("text").orderBy(F.xxhash64("text"), "text").limit(FIRST)
+    begun = training_windows(begun.repartition(sc.defaultParallelism), held, shared)
+    warm = begun.orderBy(F.xxhash64("x", "y"), "x", "y").limit(WARM).collect()  # a bounded start
+    windows = training_windows(documents, held, shared)
     if warm:
         lm.train(model, *unpacked([r.x for r in warm], [r.y for r in warm]), epochs=WARM_EPOCHS, rate=1e-2)
         for k in range(ROUNDS):

@@ -114,6 +114,15 @@ def test_lm_score_beats_base_on_held_out_texts(spark, documents):
     assert len(got) > 3 and sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_lm_trains_on_every_training_text(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(lm_score, "averaged", lambda windows, model, seed: given.append(windows.count()) or model)
+    docs = spark.range(3_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.col("id")).alias("text"))
+    docs = docs.withColumn("held_out", F.col("doc_id") < 200)
+    lm_score.scored(docs, public_tokenizers.path(lm_score.VOCABULARY))
+    assert given == [2_800] * lm_score.ROUNDS  # each of these texts is one window
+
+
 def test_lm_empty(empty):
     docs = empty.withColumn("held_out", F.lit(False))
     assert lm_score.scored(docs, public_tokenizers.path(lm_score.VOCABULARY)).count() == 0
