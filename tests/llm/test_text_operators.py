@@ -485,6 +485,26 @@ def test_private_brute_force(spotted):
     assert redacted[10**6 + 8] == "😀 [EMAIL] é [PHONE]"
 
 
+def test_one_line_in_different_texts_discloses(spark):
+    rng = random.Random(4)
+    made = lambda n: [" ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n))][0]
+    line = "the office of Quuxley at quux@y.org answers all letters"
+    rows = [f"{made(60)} {line} {made(60)}" for _ in range(6)]  # one context, six texts
+    copied = made(120).split()
+    for i in range(6):  # near copies are one piece of evidence, though each differs around the address
+        rows.append(" ".join([*copied[:60], f"{made(1)} Blivetson blivet@z.org", made(1), *copied[60:]]))
+    rows += [made(80) for _ in range(40)] + ["Quuxley again", "Blivetson again"]
+    docs = spark.createDataFrame(list(enumerate(rows)), SCHEMA)
+    got = {r.doc_id: [t.value for t in r.terms] for r in private_data.mark(docs).select("doc_id", "terms").collect()}
+    assert got[52] == ["Quuxley"] and got[53] == []
+
+
+def test_context_crosses_neighbouring_values(spark):
+    docs = spark.createDataFrame([(1, "Mail of Bolt: a@x.org, b@x.org of Acme")], SCHEMA)
+    got = docs.select(F.explode(private_data.surrounded(F.col("text"))).alias("x")).select("x.*").collect()
+    assert {r.entity: sorted(r.near) for r in got} == {"0:a@x.org": ["acme", "bolt", "mail"], "0:b@x.org": ["acme", "bolt", "mail"]}
+
+
 def test_spans_in_linear_time(spark):
     long = "a" * 200_000 + "@" + "1." * 50_000 + " x" * 1000
     frame = spark.createDataFrame([(1, long)], SCHEMA)
