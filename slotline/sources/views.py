@@ -9,6 +9,11 @@ from slotline.functions import slots
 
 ORIGIN, DAYS = "2024-01-01", 30
 AS_OF_MONTH = "2001-08-15"
+BLOCK = 1_000  #: ids whose rows one listing or document holds at most, so that none grows with its table
+
+
+def block(key: str):
+    return F.floor(F.col(key) / BLOCK).alias("block")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,8 +49,8 @@ def observation_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") != "error", F.col("event_type")).alias("conditionCode"),
     )
     return e.groupBy(
-        (F.col("user_id") % 5).cast("string").alias("station"), F.date_format("ts", "yyyy-MM-dd").alias("day")
-    ).agg(F.to_json(F.struct(F.collect_list(row).alias("observations"))).alias("doc"))
+        (F.col("user_id") % 5).cast("string").alias("station"), F.date_format("ts", "yyyy-MM-dd").alias("day"), block("event_id")
+    ).agg(F.to_json(F.struct(F.collect_list(row).alias("observations"))).alias("doc")).drop("block")
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,13 +106,15 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def version_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part")
     one = F.concat(F.lit("v"), (F.col("p_size") % 4).cast("string"), F.lit("."), (F.col("p_partkey") % 30).cast("string"))
-    return p.groupBy(F.col("p_brand").alias("grp")).agg(F.array_join(F.collect_list(one), " ").alias("text"))
+    listed = p.groupBy(F.col("p_brand").alias("grp"), block("p_partkey"))
+    return listed.agg(F.array_join(F.collect_list(one), " ").alias("text")).drop("block")
 
 
 def checksum_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     line = F.concat(F.sha2("text", 256), F.lit("  doc-"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return d.groupBy((F.col("doc_id") % 10).alias("bucket")).agg(F.array_join(F.collect_list(line), "\n").alias("text"))
+    listed = d.groupBy((F.col("doc_id") % 10).alias("bucket"), block("doc_id"))
+    return listed.agg(F.array_join(F.collect_list(line), "\n").alias("text")).drop("block")
 
 
 def digests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,3 +174,20 @@ def test_invariants(spark, sf):
     runs = timeline.missing_runs(m)
     assert runs.agg(F.sum(F.col("last") - F.col("first") + 1)).first()[0] == m.filter("state = 'M'").count()
     assert timeline.late_arrivals(valid, m.filter("state = 'P'")).count() == 0
+
+
+def test_listings_do_not_grow_with_their_tables(spark, tmp_path):
+    from slotline.sources import views
+
+    n = 30_000
+    ids = spark.range(n)
+    ids.selectExpr("id AS doc_id", "'t' AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    ids.selectExpr("id AS p_partkey", "1 AS p_size", "'b' AS p_brand").write.parquet(f"{tmp_path}/part.parquet")
+    ids.selectExpr(
+        "id AS event_id", "timestamp '2024-01-01 10:00:00' AS ts", "0L AS user_id", "'view' AS event_type", "1.0D AS value", "'{\"k\":1}' AS props"
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    for view, column, mark in (
+        (views.checksum_text, "text", "doc-"), (views.version_text, "text", "v"), (views.observation_docs, "doc", "observationTimeUtc")
+    ):
+        held = [r[0].count(mark) for r in view(spark, str(tmp_path)).select(column).collect()]
+        assert sum(held) == n and max(held) <= 1_000
