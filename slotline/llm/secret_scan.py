@@ -60,7 +60,7 @@ def steps(words: DataFrame, column: str) -> DataFrame:
 def ratios(documents: DataFrame, scan: DataFrame, sample: int = SAMPLE) -> list[float]:
     """The log-likelihood ratio of each step, row by row: a table of fixed size, whatever the input's."""
     size = len(ALPHABET) + 1
-    secrets = scan.select(F.explode("found.value").alias("w")).orderBy(F.xxhash64("w"), "w").limit(sample)
+    secrets = scan.select(F.explode("found.value").alias("w")).distinct().orderBy(F.xxhash64("w"), "w").limit(sample)
     plain = scan.filter((F.size("found") == 0) & F.col("doc_id").isNotNull()).select("doc_id")
     chosen = F.broadcast(plain.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     texts = documents.join(chosen, "doc_id", "left_semi")

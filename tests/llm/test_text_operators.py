@@ -472,6 +472,17 @@ def test_secrets_brute_force(spotted):
     assert [(s.start, s.end) for s in found[10**6 + 10].added] == [(4, 28)]
 
 
+def test_copied_secrets_enter_the_sample_once(spark):
+    values = ["deadbeef" * 4, "0123456789abcdef" * 2, "fedcba98" * 4, "13579bdf" * 4, "a1b2c3d4" * 4]
+    plain = [(i, "plain words without anything hidden") for i in range(3)]
+    ratios = []
+    for copies in (1, 10):
+        docs = spark.createDataFrame(plain + [(100 + i * copies + j, f"key {v} end") for i, v in enumerate(values) for j in range(copies)], SCHEMA)
+        scan = secret_scan.scanned(docs)
+        ratios.append(secret_scan.ratios(docs, scan, sample=3))
+    assert ratios[0] == ratios[1]
+
+
 def test_private_brute_force(spotted):
     by = ("kind", "start")
     marked = private_data.mark(spotted.withColumn("terms", F.lit(1)))
