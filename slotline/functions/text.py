@@ -29,11 +29,17 @@ def drop_lines(text: Column, pattern: str) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~line.rlike(pattern)), "\n")
 
 
+#: The files of a repository that a client asks for over plain HTTP, and the folder of its objects.
+CLONE_FILES = ["HEAD", "info/refs", "packed-refs", "description"]
+CLONE_FOLDER = "objects/"
+
+
 def clone_rewrite(path: Column) -> Column:
     """/owner/repo.git/data to /repo.git/data for the data files of a repository; others unchanged."""
-    return F.regexp_replace(
-        path, r"^/[^/]+/([^/]+\.git/(?:HEAD|info/refs|packed-refs|description|objects/.*))$", "/$1"
-    )
+    start, owner, repository, data = (F.get(F.split(path, "/", 4), i) for i in range(4))
+    wanted = data.isin(*CLONE_FILES) | data.startswith(CLONE_FOLDER)
+    fits = (start == "") & (F.length(owner) > 0) & repository.endswith(".git") & (F.length(repository) > 4) & wanted
+    return F.when(F.coalesce(fits, F.lit(False)), F.concat_ws("/", F.lit(""), repository, data)).otherwise(path)
 
 
 def address(dotted: Column) -> Column:

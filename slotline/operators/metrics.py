@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slotline.operators.ranks import ranked
+from slotline.operators.ranks import ranked, ranked_within
 
 OBSERVATION = T.StructType(
     [
@@ -87,16 +87,34 @@ def any_failed(log: DataFrame, step: str = "5 minutes") -> DataFrame:
     return rounds.agg(F.bool_or("failed").alias("failed"), F.count("*").alias("inputs"))
 
 
+#: Ranks of one key that a task takes together, where a frame of rows goes back over few.
+STRETCH = 4096
+
+
+def _by_day(column: str):
+    return F.to_date(F.col(column).cast("timestamp_ntz"))
+
+
 def rolling_probe(probes: DataFrame, keep: int = 10, timeout: float = 5.0) -> DataFrame:
-    """Mean, least and greatest of the answered among a target's last ``keep`` probes, and the share lost."""
-    w = W.partitionBy("target").orderBy("ts", "event_id").rowsBetween(-(keep - 1), 0)
+    """Mean, least and greatest of the answered among a target's last ``keep`` probes, and the share lost.
+
+    A target's probes are dealt in stretches of ranks, each with the ``keep - 1`` probes before it, so that a target with
+    very many of them is no single task.
+    """
+    probes = ranked_within(probes, "target", _by_day("ts"), ["ts", "event_id"], "_at")
+    stretch = F.floor((F.col("_at") - 1) / STRETCH)
+    carried = (F.col("_at") - 1) % STRETCH >= STRETCH - (keep - 1)
+    both = F.when(carried, F.array(stretch, stretch + 1)).otherwise(F.array(stretch))
+    dealt = probes.withColumn("_stretch", F.explode(both)).withColumn("_own", F.col("_stretch") == stretch)
+    w = W.partitionBy("target", "_stretch").orderBy("_at").rowsBetween(-(keep - 1), 0)
     lost = F.col("rtt") > timeout
     got = F.when(~lost, F.col("rtt"))
-    return probes.select(
-        "event_id", "target",
+    seen = dealt.select(
+        "event_id", "target", "_own",
         F.avg(got).over(w).alias("mean"), F.min(got).over(w).alias("least"), F.max(got).over(w).alias("most"),
         F.avg(lost.cast("double")).over(w).alias("loss"),
     )
+    return seen.filter("_own").drop("_own")
 
 
 def counter_increase(readings: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
@@ -106,17 +124,23 @@ def counter_increase(readings: DataFrame, key: str, order: list[str], value: str
 
 
 def burst_classify(events: DataFrame, key: str, window_seconds: int, throttle: int, reject: int) -> DataFrame:
-    """ok, throttle or reject by the events of a key in the trailing window, the present one counted."""
+    """ok, throttle or reject by the events of a key in the trailing window, the present one counted.
+
+    Time is cut into blocks as long as the window, and each event also stands in the block after its own: a window looks
+    into no other, so tasks grow with a key's events in two blocks and not with all of them.
+    """
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = W.partitionBy(key).orderBy("us").rangeBetween(-window_seconds * 1_000_000, 0)
-    counted = events.withColumn("us", micros).withColumn("n", F.count("*").over(w)).drop("us")
+    length = window_seconds * 1_000_000
+    block = F.floor(F.col("us") / length)
+    dealt = events.withColumn("us", micros).withColumn("_block", F.explode(F.array(block, block + 1)))
+    w = W.partitionBy(key, "_block").orderBy("us").rangeBetween(-length, 0)
+    counted = dealt.withColumn("n", F.count("*").over(w)).filter(F.col("_block") == block).drop("us", "_block")
     return counted.withColumn("verdict", F.when(F.col("n") >= reject, "reject").when(F.col("n") >= throttle, "throttle").otherwise("ok"))
 
 
 def failure_context(log: DataFrame, n: int = 1000) -> DataFrame:
     """For each failure, the n records of its unit before it: (unit, failure, record, back)."""
-    rank = F.row_number().over(W.partitionBy("unit").orderBy("ts", "event_id"))
-    numbered = log.withColumn("rn", rank).select("unit", "event_id", "failed", "rn")
+    numbered = ranked_within(log, "unit", _by_day("ts"), ["ts", "event_id"], "rn").select("unit", "event_id", "failed", "rn")
     # a record's block of n ranks, and the one after it, hold every failure that may want it: an equality on the block
     block = F.floor(F.col("rn") / n)
     failures = numbered.filter("failed").select(
@@ -138,5 +162,5 @@ def thread_order(messages: DataFrame) -> DataFrame:
     """Messages with their thread's rank (most recent first) and their own rank within it."""
     latest = messages.groupBy("thread").agg(F.max("ts").alias("latest"))
     threads = ranked(latest, [F.col("latest").desc(), F.col("thread").asc()], "thread_rank")
-    own = F.row_number().over(W.partitionBy("thread").orderBy("ts", "event_id"))
-    return messages.withColumn("message_rank", own).join(threads.drop("latest"), "thread")
+    own = ranked_within(messages, "thread", _by_day("ts"), ["ts", "event_id"], "message_rank")
+    return own.join(threads.drop("latest"), "thread")

@@ -1,4 +1,4 @@
-"""Global ranks without a global window."""
+"""Global ranks without a global window, and ranks within a key without one window for each key."""
 
 from __future__ import annotations
 
@@ -24,3 +24,20 @@ def ranked(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFram
     )
     lifted = own.join(F.broadcast(before), F.col("part") == F.col("_part"))
     return lifted.withColumn(name, (F.col("own") + F.col("lower")).cast("long")).drop("part", "_part", "own", "lower")
+
+
+def ranked_within(rows: DataFrame, key: str, block: Column, order: list[str], name: str = "rank") -> DataFrame:
+    """Rows with their rank from 1 within ``key`` in ``order``, which must tell a key's rows apart.
+
+    ``block`` rises with the order (a stretch of time): rows are ranked in each block of a key and lifted by the sizes of
+    the key's blocks before, so that no task holds all rows of a frequent key, only its blocks' counts.
+    """
+    dealt = rows.withColumn("_block", block)
+    own = dealt.withColumn("_own", F.row_number().over(W.partitionBy(key, "_block").orderBy(*order)))
+    before = W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    sizes = dealt.groupBy(key, "_block").agg(F.count("*").alias("_n"))
+    lower = sizes.select(key, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_lower"))
+    # a null key or block ranks like any other value
+    same = own[key].eqNullSafe(lower[key]) & own["_block"].eqNullSafe(lower["_block"])
+    lifted = own.join(lower, same).drop(lower[key]).drop(lower["_block"])
+    return lifted.withColumn(name, F.col("_own") + F.col("_lower")).drop("_block", "_own", "_lower")

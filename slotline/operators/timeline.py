@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotline.functions import slots
+from slotline.operators.ranks import ranked_within
 
 
 def slot_spine(valid: DataFrame, days: int, keep_last: bool = False) -> DataFrame:
@@ -143,11 +144,16 @@ def month_union(days: DataFrame) -> DataFrame:
     return days.withColumn("frame", F.col("day_index") * slots.SLOTS_PER_DAY + F.col("frame")).drop("day_index")
 
 
-def even_sample(rows: DataFrame, key: str, order: str, k: int = 6) -> DataFrame:
-    """k rows spread evenly from the first to the last of each key; duplicates among the ordinals collapse."""
-    at = F.row_number().over(W.partitionBy(key).orderBy(order))
-    n = F.count("*").over(W.partitionBy(key))
-    numbered = rows.withColumn("ordinal", at).withColumn("n", n)
+def even_sample(rows: DataFrame, key: str, order: str, k: int = 6, block: Column | None = None) -> DataFrame:
+    """k rows spread evenly from the first to the last of each key; duplicates among the ordinals collapse.
+
+    Rows are ranked in blocks (by default, days of slots) and lifted by the blocks' counts, so that tasks grow with a
+    key's days and not with all its rows.
+    """
+    block = F.floor(F.col(order) / slots.SLOTS_PER_DAY) if block is None else block
+    n = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("n"))
+    numbered = ranked_within(rows, key, block, [order], "ordinal")
+    numbered = numbered.join(n, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
     picked = F.transform(
         F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (1 + F.floor(i * (F.col("n") - 1) / (k - 1))).cast("int")
     )

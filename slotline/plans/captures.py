@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from slotline.functions import slots
 from slotline.operators import capture as op
+from slotline.operators import reaping, timeline
 from slotline.plans.registry import query
 from slotline.sources import files, views
 from slotline.sources.views import with_views
@@ -37,8 +38,8 @@ def capture_scan(spark, d):
 
 @query("capture_sink", with_views("valid", "SELECT camera, day_dir AS day, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM valid GROUP BY ALL"))
 def capture_sink(spark, d):
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-captures-")
-    back = files.land_captures(_valid(spark, d), f"{where.rstrip('/')}/captures-{spark.sparkContext.applicationId}")
+    # a folder of its own for each call: partitions of another table's run are not counted
+    back = files.land_captures(_valid(spark, d), f"{files.shared_folder(spark)}/captures-{uuid.uuid4().hex}")
     return back.groupBy("camera", F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
@@ -211,3 +212,45 @@ def retention_due_months(spark, d):
     m = views.monthly(spark, d).distinct()
     got = op.retention_due(m, op.joined_months(m, m), views.AS_OF_MONTH)
     return got.withColumn("rank", F.row_number().over(W.orderBy("month")).cast("long"))  # one row a month
+
+
+# --- the report of checks before captures may go, and what may go ----------------------------------------------------
+REAP_AS_OF, REAPED = "2024-06-15", "2024-01"
+#: Captures of these cameras came from the other host after the output was made.
+LATE_CAMERAS = "camera < 'e'"
+
+
+def _reap_sql(body):
+    return with_views("valid manifest", "").rstrip() + f""", odd AS ({ODD}), disk AS (SELECT DISTINCT camera, g FROM valid WHERE host = 'a' OR {LATE_CAMERAS}),
+        late AS (SELECT camera, count(*) AS n FROM (SELECT camera, g FROM disk EXCEPT SELECT camera, g FROM manifest WHERE state = 'P') GROUP BY camera),
+        shape AS (SELECT camera, count(*) AS n, count(*) FILTER (state = 'P' AND substr(src, 1, 10) <> strftime(DATE '2024-01-01' + INTERVAL (g // 288) DAY, '%Y-%m-%d')) AS misnamed FROM manifest GROUP BY camera),
+        picks AS ({views.SQL_PICKS}), sampled AS (SELECT camera, count(*) FILTER (g % 11 <> 0) AS checked, count(*) FILTER (g % 11 <> 0 AND 0.9 + (g % 7 - 1) / 100.0 < 0.9) AS failing FROM picks GROUP BY camera),
+        strays AS (SELECT camera, count(*) AS n FROM odd WHERE NOT {NAMED} GROUP BY camera),
+        joined_up AS (SELECT c.camera, coalesce(s.n, 0) AS strays, coalesce(h.n, 0) AS n_rows, coalesce(h.misnamed, 0) AS misnamed, coalesce(l.n, 0) AS late, coalesce(p.failing, 0) AS failing,
+            coalesce(h.misnamed = 0, false) AS good_days, coalesce(p.checked > 0 AND p.failing = 0, false) AS alike
+            FROM (SELECT DISTINCT camera FROM disk) c LEFT JOIN strays s USING (camera) LEFT JOIN shape h USING (camera) LEFT JOIN late l USING (camera) LEFT JOIN sampled p USING (camera)),
+        report AS (SELECT camera, '2024-01' AS period, unnest(['due', 'strays', 'shape', 'days', 'late', 'samples']) AS "check", unnest([1, strays, n_rows, misnamed, late, failing]) AS found,
+            unnest([true, true, n_rows = 8640, good_days, late = 0, alike]) AS passed FROM joined_up) {body}"""
+
+
+def _reap_report(spark, d):
+    from slotline.plans.timelines import manifest
+
+    m = files.settled(manifest(spark, d), "manifest")  # several checks read it
+    every = views.valid(views.captures(spark, d))
+    photos = m.filter("state = 'P'").select("camera", "g", "src")
+    scored = timeline.even_sample(photos, "camera", "g").withColumn("score", F.lit(0.9) + (F.col("g") % 7 - 1) / 100.0)
+    sources = photos.filter(F.col("g") % 11 != 0).select("camera", F.col("src").alias("name"))
+    newest = op.retention_due(spark.createDataFrame([(REAPED,)], "month string"), spark.createDataFrame([(REAPED,)], "month string"), REAP_AS_OF)
+    on_disk = every.filter(f"host = 'a' OR {LATE_CAMERAS}").select("camera", "g").distinct()
+    return reaping.report(m, on_disk, _odd(spark, d), scored, sources, REAPED, views.DAYS, views.ORIGIN, not newest.isEmpty())
+
+
+@query("reap_report", _reap_sql('SELECT camera, period, "check", found, passed FROM report'))
+def reap_report(spark, d):
+    return _reap_report(spark, d)
+
+
+@query("reap_deletions", _reap_sql(f"SELECT event_id, camera, name FROM odd WHERE {NAMED} AND substr(name, 1, 7) = '2024-01' AND camera IN (SELECT camera FROM report GROUP BY camera HAVING bool_and(passed))"))
+def reap_deletions(spark, d):
+    return reaping.deletions(_odd(spark, d), _reap_report(spark, d)).select("event_id", "camera", "name")

@@ -13,8 +13,11 @@ from slotline.streaming import jobs
 
 
 def _captures(spark, d):
-    """The stream shaped as captures with their slots."""
-    e = jobs.event_stream(spark, d)
+    return shaped(jobs.event_stream(spark, d))
+
+
+def shaped(e):
+    """A stream of events shaped as captures with their slots."""
     name = F.concat(F.date_format("ts", "yyyy-MM-dd_HH:mm:ss"), F.lit(".jpg"))
     c = e.select(
         F.when(F.col("user_id") % 3 == 0, "b").otherwise("a").alias("host"), F.col("event_type").alias("camera"),
@@ -47,6 +50,13 @@ def stream_outage(spark, d):
     return jobs.drained(jobs.outages(_captures(spark, d).filter("host = 'a'"))).filter("kind = 'closed'")
 
 
+@query("stream_open_outage", with_views("valid", """SELECT camera, max(g) + 7 AS first, CAST(NULL AS BIGINT) AS last, 'open' AS kind FROM valid WHERE host = 'a' GROUP BY camera
+    HAVING (max(g) + 7) * 5 < (SELECT max(g) FROM valid WHERE host = 'a') * 5 - 10"""))
+def stream_open_outage(spark, d):
+    """Cameras that are still missing when the watermark has passed their first missing slot."""
+    return jobs.drained(jobs.outages(_captures(spark, d).filter("host = 'a'"))).filter("kind = 'open'")
+
+
 @query("stream_sessions", with_views("valid", """, own AS (SELECT camera, g FROM valid WHERE host = 'a'), marked AS (SELECT camera, g, CASE WHEN g - lag(g) OVER w <= 7 THEN 0 ELSE 1 END AS begins FROM own WINDOW w AS (PARTITION BY camera ORDER BY g)),
     numbered AS (SELECT camera, g, sum(begins) OVER (PARTITION BY camera ORDER BY g ROWS UNBOUNDED PRECEDING) AS s FROM marked)
     SELECT camera, min(g) AS first, max(g) AS last, count(*) AS photos FROM numbered GROUP BY camera, s HAVING max(g) * 5 + 36 <= (SELECT max(g) FROM own) * 5 - 10"""))
@@ -71,4 +81,5 @@ def stream_dedup(spark, d):
     SELECT f.unit, f.event_id AS failure, r.event_id AS record, f.rn - r.rn AS back FROM ranked f JOIN ranked r ON f.unit = r.unit AND r.rn BETWEEN f.rn - 5 AND f.rn - 1 WHERE f.failed"""))
 def stream_failure_alert(spark, d):
     e = jobs.event_stream(spark, d)
-    return jobs.failure_alerts(e.select((F.col("event_type") == "error").alias("failed"), "event_id"), views.log(spark, d), 5)
+    log = e.select(F.col("user_id").alias("unit"), (F.col("event_type") == "error").alias("failed"), "event_id", "ts")
+    return jobs.failure_alerts(log, views.log(spark, d), 5)

@@ -8,6 +8,7 @@ from slotline.functions import slots
 from slotline.operators import capture, timeline
 from slotline.plans.registry import query
 from slotline.sources import views
+from slotline.sources.files import settled
 from slotline.sources.views import DAYS, ORIGIN, with_views
 
 
@@ -46,7 +47,7 @@ def missing_runs(spark, d):
 
 @query("frame_outage_range", with_views("manifest runs", "SELECT m.camera, m.g, r.first, r.last FROM manifest m JOIN runs r ON m.camera = r.camera AND m.g BETWEEN r.first AND r.last"))
 def frame_outage_range(spark, d):
-    m = manifest(spark, d)
+    m = settled(manifest(spark, d), "manifest")  # read twice: its slots, and the runs among them
     found = timeline.frame_outage(m.select("camera", "g"), timeline.missing_runs(m))
     return _long(found.select("camera", "g", "first", "last"), "g", "first", "last")
 
@@ -62,7 +63,7 @@ GAP = "CASE WHEN mi < 60 THEN printf('%02dm', mi) WHEN mi < 1440 THEN printf('%0
     SELECT m.camera, m.g, TIMESTAMP '2024-01-01' + INTERVAL (m.g * 5) MINUTE AS shown, coalesce(strptime(substr(r.src, 1, 19), '%Y-%m-%d_%H:%M:%S'), TIMESTAMP '2024-01-01' + INTERVAL (r.first * 5) MINUTE) AS since
     FROM manifest m JOIN runs r ON m.camera = r.camera AND m.g BETWEEN r.first AND r.last))"""))
 def outage_captions(spark, d):
-    return _long(timeline.outage_captions(manifest(spark, d), ORIGIN), "g")
+    return _long(timeline.outage_captions(settled(manifest(spark, d), "manifest"), ORIGIN), "g")
 
 
 @query("local_day_badge", with_views("spine", f"SELECT camera, g, strftime({LOCAL.format('TIMESTAMP ' + chr(39) + '2024-01-01' + chr(39) + ' + INTERVAL (g * 5) MINUTE')}, '%a %Y-%m-%d') AS badge FROM spine"))
@@ -114,8 +115,7 @@ def month_union(spark, d):
     return _long(timeline.month_union(days), "frame")
 
 
-PICKS = """SELECT * FROM (SELECT camera, g, src, row_number() OVER (PARTITION BY camera ORDER BY g) AS ordinal, count(*) OVER (PARTITION BY camera) AS n FROM manifest WHERE state = 'P')
-    WHERE ordinal IN (SELECT 1 + i * (n - 1) // 5 FROM range(0, 6) t(i))"""
+PICKS = views.SQL_PICKS
 
 
 @query("even_sample", with_views("manifest", f"SELECT camera, g, src, ordinal FROM ({PICKS})"))

@@ -9,7 +9,7 @@ from slotline.plans.registry import query
 from slotline.sources import views
 from slotline.sources.views import with_views
 
-SUBNETS = ["100.89.176.0/20", "192.168.189.0/24", "192.168.100.0/24"]
+SUBNETS = ["203.0.112.0/20", "198.51.100.0/24", "192.0.2.0/24"]  #: networks for documentation, as an example
 #: A zone and its masks: corners in relative coordinates, fixed values.
 ZONE = "0.312,1,0.311,0.269,0.354,0.172,0.396,0.154,0.431,0.102,0.495,0.044,0.61,0.039,0.774,0.097,0.837,0.219,0.758,0.995"
 MASKS = [
@@ -28,12 +28,11 @@ def natural_latest_version(spark, d):
     return v.groupBy("grp").agg(F.max_by("v", tx.natural_key(F.col("v"))).alias("latest"))
 
 
-@query("checksum_line_lookup", "SELECT doc_id % 10 AS bucket, sha256(text) AS hash, 'doc-' || doc_id || '.txt' AS file FROM documents WHERE doc_id % 7 = 3")
+@query("checksum_line_lookup", "SELECT doc_id % 10 AS bucket, sha256(text) AS hash, 'doc-' || doc_id || '.txt' AS file FROM documents")
 def checksum_line_lookup(spark, d):
     line = views.checksum_text(spark, d).select("bucket", F.explode(F.split("text", "\n")).alias("line"))
     parsed = line.select("bucket", F.regexp_extract("line", r"^(\S+)\s+(.*)$", 1).alias("hash"), F.regexp_extract("line", r"^(\S+)\s+(.*)$", 2).alias("file"))
-    wanted = views.read(spark, d, "documents").filter(F.col("doc_id") % 7 == 3)
-    wanted = wanted.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"))
+    wanted = views.read(spark, d, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"))
     return parsed.join(wanted, "file", "left_semi").select("bucket", "hash", "file")
 
 
@@ -79,7 +78,7 @@ def line_redaction(spark, d):
     return views.read(spark, d, "documents").select("doc_id", tx.drop_lines(F.col("text"), "(token|Licensed|@)").alias("text"))
 
 
-@query("cidr_filter", with_views("requests", """SELECT event_id, ip FROM requests WHERE CAST(split_part(ip, '.', 1) AS BIGINT) = 100 AND CAST(split_part(ip, '.', 2) AS BIGINT) = 89 AND CAST(split_part(ip, '.', 3) AS BIGINT) BETWEEN 176 AND 191"""))
+@query("cidr_filter", with_views("requests", """SELECT event_id, ip FROM requests WHERE CAST(split_part(ip, '.', 1) AS BIGINT) = 203 AND CAST(split_part(ip, '.', 2) AS BIGINT) = 0 AND CAST(split_part(ip, '.', 3) AS BIGINT) BETWEEN 112 AND 127"""))
 def cidr_filter(spark, d):
     return views.requests(spark, d).filter(tx.in_subnets(F.col("ip"), SUBNETS)).select("event_id", "ip")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,12 +12,24 @@ from pyspark.sql import functions as F
 from slotline.functions import slots
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared scratch folder, spark.checkpoint.dir. Without one, files would go to a folder that executors
+    on other machines do not share, so that is an error; a session whose master is local has one machine, and gets a
+    folder of its own."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+        where = spark.sparkContext.getCheckpointDir()
+    return where.rstrip("/")
+
+
 def settled(frame: DataFrame, name: str) -> DataFrame:
     """``frame`` written once to the shared folder and read back: for plans that must not be run twice with
     different outcomes, as where ranges are cut from a sample."""
     spark = frame.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-settled-")
-    path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 

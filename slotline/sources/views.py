@@ -66,7 +66,7 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, p = read(spark, sf_dir, "events"), read(spark, sf_dir, "pages").select("page_id", "url")
     n = p.agg(F.count("*").alias("n"))
-    ip = F.concat(F.lit("100.89."), (160 + F.col("event_id") % 48).cast("string"), F.lit("."), (F.col("user_id") % 256).cast("string"))
+    ip = F.concat(F.lit("203.0."), (96 + F.col("event_id") % 48).cast("string"), F.lit("."), (F.col("user_id") % 256).cast("string"))
     numbered = e.select("event_id", ip.alias("ip")).join(F.broadcast(n))  # one row
     return numbered.withColumn("page_id", F.col("event_id") % F.col("n")).join(p, "page_id").select("event_id", "ip", "url")
 
@@ -195,7 +195,7 @@ SQL_VIEWS: dict[str, str] = {
     "monthly": """SELECT o_orderpriority AS camera, strftime(o_orderdate, '%Y-%m') AS month FROM orders""",
     "log": """SELECT user_id AS unit, ts, event_type = 'error' AS failed, event_id FROM events""",
     "probes": """SELECT user_id AS target, ts, value AS rtt, event_id FROM events""",
-    "requests": """SELECT e.event_id, '100.89.' || (160 + e.event_id % 48) || '.' || (e.user_id % 256) AS ip, p.url
+    "requests": """SELECT e.event_id, '203.0.' || (96 + e.event_id % 48) || '.' || (e.user_id % 256) AS ip, p.url
         FROM events e JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages)""",
     "points": """SELECT event_id, event_type AS label, (event_id * 7919 % 1000) / 1000.0::DOUBLE AS x,
         (event_id * 104729 % 1000) / 1000.0::DOUBLE AS y FROM events""",
@@ -212,6 +212,9 @@ SQL_VIEWS: dict[str, str] = {
         SELECT 1 FROM (SELECT DISTINCT camera FROM monthly) c WHERE NOT EXISTS (
         SELECT 1 FROM monthly d WHERE d.camera = c.camera AND d.month = m.month))""",
 }
+#: Six photos of each camera, spread evenly, in SQL over the view ``manifest``.
+SQL_PICKS = """SELECT * FROM (SELECT camera, g, src, row_number() OVER (PARTITION BY camera ORDER BY g) AS ordinal, count(*) OVER (PARTITION BY camera) AS n FROM manifest WHERE state = 'P')
+    WHERE ordinal IN (SELECT 1 + i * (n - 1) // 5 FROM range(0, 6) t(i))"""
 NEEDS = {
     "valid": ["captures"], "filled": ["valid"], "spine": ["valid"], "carried": ["spine", "filled"], "manifest": ["carried"],
     "runs": ["manifest"], "finalized": ["captures"], "joined": ["monthly"],

@@ -1,8 +1,12 @@
-"""Structured Streaming jobs over captures and logs, each the twin of a batch operator."""
+"""Structured Streaming jobs over captures and logs, each the twin of a batch operator.
+
+Contract of the jobs with a watermark (slots, outages, sessions, samples, deduplication): rows may come in any order within
+a micro-batch, and no later than ``late`` after the newest row of the batches before it; rows later than that are dropped
+by the watermark. ``late_days`` is the path for those: it finds, over all batches, the days that late rows make stale.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,19 +17,26 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from slotline.functions import slots
 from slotline.operators import capture, metrics, timeline
+from slotline.sources.files import shared_folder
+
 
+def event_stream(spark: SparkSession, sf_dir: str, name: str = "events", files: int | None = None) -> DataFrame:
+    """A table as a stream of its files, its UTC times with a zone so that a watermark takes them.
 
-def event_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
-    """A table as a stream of its files, its UTC times with a zone so that a watermark takes them."""
+    ``files``: at most so many in a micro-batch. Without it a run takes in one batch all that is there, so that its
+    result does not depend on how the rows are dealt to files; with it, files must come in the order of their times, to
+    within the jobs' lateness.
+    """
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     # as a pattern, so that a table may be one file or a folder of them
-    frame = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/{name}.parque[t]")
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", files) if files else reader
+    frame = reader.parquet(f"{sf_dir}/{name}.parque[t]")
     return frame.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _folder(spark: SparkSession) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-streams-")
-    return f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -63,15 +74,16 @@ def first_per_slot(captures: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 
 def late_days(captures: DataFrame, used: DataFrame, final: DataFrame) -> DataFrame:
-    """Days to be made again: late slots of days that are not final. Each batch is compared with what was used."""
+    """Days to be made again: late slots of days that are not final. Each batch is compared with what was used, and the
+    slots of all batches are counted together, each once, however many batches it came in."""
 
     def work(batch: DataFrame) -> DataFrame:
         open_ = capture.to_write(batch.withColumn("day", F.col("day_dir")), final, "camera", "day")
-        late = timeline.late_arrivals(open_, used)
-        day = F.floor(F.col("g") / slots.SLOTS_PER_DAY)
-        return late.groupBy("camera", day.alias("day")).agg(F.count("*").alias("slots"))
+        return timeline.late_arrivals(open_, used).select("camera", F.col("g").cast("long").alias("g"))
 
-    return drained_by_batch(captures, work, "camera string, day long, slots long")
+    late = drained_by_batch(captures, work, "camera string, g long").distinct()
+    day = F.floor(F.col("g") / slots.SLOTS_PER_DAY)
+    return late.groupBy("camera", day.alias("day")).agg(F.count("*").alias("slots"))
 
 
 def outages(captures: DataFrame, hold: int = slots.HOLD, late: str = "10 minutes") -> DataFrame:
@@ -126,10 +138,14 @@ def deduplicated(captures: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 
 def failure_alerts(log: DataFrame, table: DataFrame, n: int) -> DataFrame:
-    """For each failure of a batch, the records before it in the log table."""
+    """For each failure of a batch, the records before it in the log table. Only units with a failure in the batch are
+    read from the table, and only up to their last one."""
 
     def work(batch: DataFrame) -> DataFrame:
-        failures = batch.filter("failed").select(F.col("event_id").alias("failure"))
-        return metrics.failure_context(table, n).join(failures, "failure", "left_semi").select("unit", "failure", "record", "back")
+        failures = batch.filter("failed").select("unit", F.col("event_id").alias("failure"), "ts")
+        upto = failures.groupBy("unit").agg(F.max("ts").alias("upto"))
+        near = table.join(upto, "unit").filter(F.col("ts").cast("timestamp") <= F.col("upto")).drop("upto")
+        found = metrics.failure_context(near, n).join(failures.select("failure"), "failure", "left_semi")
+        return found.select("unit", "failure", "record", "back")
 
     return drained_by_batch(log, work, "unit long, failure long, record long, back long")

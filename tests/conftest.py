@@ -4,6 +4,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -12,16 +13,13 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 @pytest.fixture(scope="session")
 def spark():
     shared = tempfile.mkdtemp(prefix="spark-tests-")
-    session = (
-        SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "3g")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.checkpoint.dir", shared)
-        .getOrCreate()
-    )
+    conf = SparkConf().setMaster("local[4]").setAppName("tests")
+    for key, value in {
+        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        "spark.driver.memory": "3g", "spark.sql.session.timeZone": "UTC", "spark.checkpoint.dir": shared,
+    }.items():
+        conf.set(key, value)
+    session = SparkSession(SparkContext.getOrCreate(conf))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
