@@ -6,7 +6,7 @@ whose states are (token before, place in the vocabulary's prefix tree). ``Transd
 it: a state is the set of live hypotheses with the tokens that they have not agreed upon; a step reads one byte,
 drops hypotheses that leave the tree, and emits the tokens that all live ones share, at most the longest token's
 length behind. States are kept in a bounded table that is emptied when full. ``Utf8Stream`` decodes: its state is the
-bytes of an unfinished character, and its steps are lifted from bytes to whole tokens.
+bytes of an unfinished character, and its steps are lifted from bytes to whole tokens. ``digests`` does both in one pass.
 
 Nulls and empty texts encode to no ids. Texts of any length, repeated rows and extra columns are fine; the added
 columns (``n_tokens``, ``ids``, ``decoded``) replace inputs of the same name. ``ids`` are packed little-endian
@@ -16,6 +16,7 @@ unsigned 32-bit integers. The vocabulary has a fixed size, so it is broadcast.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import struct
 from collections.abc import Iterator
@@ -25,18 +26,18 @@ import pyarrow as pa
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from slotline.llm.common import extended, table
+from slotline.llm.common import extended, machine, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-MAX_STATES = 200_000  #: determinised states kept by a worker (about 1 kB each)
-MAX_PIECES = 200_000  #: encoded pieces kept by a worker (about 0.2 kB each)
-FEW = 48  #: up to so many tokens below a place are tried against the token before
+MAX_STATES = 150_000  #: determinised states kept by a worker (about 1 kB each)
+MAX_PIECES = 400_000  #: encoded pieces kept by a worker in each of two tables (about 0.2 kB each)
+FEW = 32  #: up to so many tokens below a place are kept by name in a state
 NEVER = 1 << 60
 
 # The split pattern's classes within Latin-1, fixed values: letters, numbers, white space.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
+LATIN1_LETTERS = _L
 #: The public split pattern for texts of Latin-1 characters only, for the faster built-in matcher.
 LATIN1 = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
@@ -107,19 +108,23 @@ class Transducer:
                     self.ends.append(-1)
                 node = nxt
             self.ends[node] = t
-        #: tokens at or below each place of the tree, where they are few
-        self.below: list[tuple[int, ...] | None] = [None] * len(self.ends)
+        #: tokens below each place of the tree, where they are few
+        self.below: list[frozenset[int] | None] = [None] * len(self.ends)
         for node in range(len(self.ends) - 1, -1, -1):
-            under = [self.below[x] for x in self.children[node].values()]
-            if None not in under:
-                got = (() if self.ends[node] < 0 else (self.ends[node],)) + tuple(t for x in under for t in x)
-                self.below[node] = got if len(got) <= FEW else None
-        self.viable: dict[tuple[int, int], bool] = {}
+            under: set[int] = set()
+            for x in self.children[node].values():
+                if self.below[x] is None:
+                    break
+                under |= self.below[x]
+                if self.ends[x] >= 0:
+                    under.add(self.ends[x])
+            else:
+                self.below[node] = frozenset(under) if len(under) <= FEW else None
         self.empty()
 
     def empty(self) -> None:
-        start = (((), -1, 0),)
-        self.viable.clear()
+        start = (((), -1, 0, None),)
+        self.viable: dict[tuple[int, int], tuple[int, ...]] = {}
         self.number = {start: 0}
         self.states = [start]
         self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
@@ -144,42 +149,58 @@ class Transducer:
             else:
                 until_b, b = b, m.left[b]
 
-    def hopeful(self, before: int, node: int) -> bool:
-        """Whether some token at or below a place can follow ``before``, where few enough are there to ask."""
-        tokens = self.below[node]
-        if before < 0 or tokens is None:
-            return True
+    def followers(self, before: int, node: int) -> tuple[int, ...]:
+        """The few tokens below a place that can follow ``before``, in order."""
         known = self.viable.get((before, node))
         if known is None:
-            known = self.viable[before, node] = any(self.neighbours(before, t) for t in tokens)
+            tokens = sorted(self.below[node])
+            known = tuple(tokens) if before < 0 else tuple(t for t in tokens if self.neighbours(before, t))
+            self.viable[before, node] = known
         return known
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """A hypothesis is (pending, before, node, few): tokens not yet sent, the last token, the place in the tree, and
+        the tokens below that may still come, where they are few. Those then stand for the last token, so that states
+        which differ in nothing that can matter are one."""
         live, seam = [], None
-        for pending, before, node in self.states[state]:
+        for pending, before, node, few in self.states[state]:
             nxt = self.children[node].get(byte)
             if nxt is None:
                 continue
             token = self.ends[nxt]
-            if seam is None and token >= 0 and (before < 0 or self.neighbours(before, token)):
-                seam = ((*pending, token), token, 0)
-            if self.children[nxt] and self.hopeful(before, nxt):
-                live.append((pending, before, nxt))
+            if seam is None and token >= 0:
+                if few is not None:
+                    fits = token in few
+                else:
+                    fits = before < 0 or self.neighbours(before, token)
+                if fits:
+                    seam = ((*pending, token), token, 0, None)
+            if self.children[nxt]:
+                below = self.below[nxt]
+                if below is None:
+                    live.append((pending, before, nxt, None))
+                    continue
+                left = self.followers(before, nxt) if few is None else tuple(t for t in few if t in below)
+                if left:
+                    live.append((pending, -1, nxt, left))
         if seam is None:
             raise ValueError(f"byte {byte} is not in the vocabulary")
         live.append(seam)
-        shared = min(len(x[0]) for x in live)
-        sent = 0
-        while sent < shared and len({x[0][sent] for x in live}) == 1:
-            sent += 1
-        key = tuple((pending[sent:], before, node) for pending, before, node in live)
+        first = seam[0]
+        sent = min(len(x[0]) for x in live)
+        for other in live:
+            k = 0
+            while k < sent and other[0][k] == first[k]:
+                k += 1
+            sent = k
+        key = tuple((pending[sent:], before, node, few) for pending, before, node, few in live)
         to = self.number.get(key)
         if to is None:
             to = self.number[key] = len(self.states)
             self.states.append(key)
             self.steps.append({})
             self.rest.append(key[-1][0])
-        found = self.steps[state][byte] = (to, seam[0][:sent])
+        found = self.steps[state][byte] = (to, first[:sent])
         return found
 
     def encode(self, piece: bytes) -> list[int]:
@@ -199,21 +220,27 @@ class Transducer:
 
 
 class Encoder(dict):
-    """Whole texts to packed ids; a bounded table, this dict, holds the ids of pieces seen before."""
+    """Whole texts to packed ids. This dict holds the ids of pieces seen before, and ``older`` those of the table before
+    it, so that frequent pieces outlive a full table."""
 
     def __init__(self, merges: Merges):
         super().__init__()
         self.transducer = Transducer(merges)
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.transducer.encode(piece.encode("utf-8"))
-        self[piece] = packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.older.get(piece)
+        if packed is None:
+            ids = self.transducer.encode(piece.encode("utf-8"))
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        self[piece] = packed
         return packed
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if len(self) > MAX_PIECES:
+            self.older = dict(self)
             self.clear()
         return b"".join(map(self.__getitem__, pieces(text)))
 
@@ -225,11 +252,11 @@ class Utf8Stream:
         self.bytes_of = bytes_of
         self.lifted: dict[tuple[bytes, int], tuple[str, bytes]] = {}
         size = max(bytes_of) + 1
-        self.alone: list[str | None] = [None] * size  #: texts of tokens that begin and end between characters
+        self.alone: list[bytes | None] = [None] * size  #: decoded bytes of tokens that begin and end between characters
         for token in bytes_of:
             text, held = self.step(b"", token)
             if not held:
-                self.alone[token] = text
+                self.alone[token] = text.encode("utf-8")
 
     @staticmethod
     def needs(held: bytes) -> int:
@@ -275,23 +302,16 @@ class Utf8Stream:
         if held:
             yield "�"
 
-    def decode(self, ids: bytes) -> str:
+    def decoded(self, ids: bytes) -> bytes:
+        """The text of packed ids, in UTF-8."""
         numbers = np.frombuffer(ids, dtype="<u4").tolist()
         try:
-            return "".join(map(self.alone.__getitem__, numbers))
+            return b"".join(map(self.alone.__getitem__, numbers))
         except TypeError:  # a token ends within a character
-            return "".join(self.chunks(numbers))
-
-
-def _opened(cache: dict, held, kind):
-    """The worker's own machine for a broadcast vocabulary."""
-    if held.value is not cache.get("of"):
-        cache["of"], cache["is"] = held.value, kind(held.value)
-    return cache["is"]
+            return "".join(self.chunks(numbers)).encode("utf-8")
 
-
-_ENCODER: dict = {}
-_DECODER: dict = {}
+    def decode(self, ids: bytes) -> str:
+        return self.decoded(ids).decode("utf-8")
 
 
 def encode(documents: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -301,11 +321,11 @@ def encode(documents: DataFrame, path: str, text: str = "text") -> DataFrame:
     place = documents.columns.index(text)
 
     def run(batches):
-        machine = _opened(_ENCODER, held, Encoder)
+        coder = machine(held.value, lambda: Encoder(held.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [machine.encode(t) for t in part.column(place).to_pylist()]
+                ids = [coder.encode(t) for t in part.column(place).to_pylist()]
                 columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, "n_tokens", "ids"])
 
@@ -319,11 +339,11 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     place = encoded.columns.index(ids)
 
     def run(batches):
-        machine = _opened(_DECODER, held, Utf8Stream)
+        stream = machine(held.value, lambda: Utf8Stream(held.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [machine.decode(x or b"") for x in part.column(place).to_pylist()]
+                texts = [stream.decode(x or b"") for x in part.column(place).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"]
                 )
@@ -331,13 +351,31 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return encoded.mapInArrow(run, extended(encoded, decoded="string"))
 
 
+def digests(documents: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """Every row with n_tokens, ids_sha256 and decoded_sha256: encoded and decoded again in one pass, so that neither
+    ids nor texts leave the worker."""
+    held = documents.sparkSession.sparkContext.broadcast(Merges(read_ranks(path)))
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    documents = documents.drop(*names)
+    place = documents.columns.index(text)
+
+    def run(batches):
+        encoder, decoder = machine(held.value, lambda: (Encoder(held.value), Utf8Stream(held.value.bytes_of)))
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids = [encoder.encode(t) for t in part.column(place).to_pylist()]
+                columns = [
+                    pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()),
+                    pa.array([sha(decoder.decoded(x)) for x in ids], pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *names])
+
+    return documents.mapInArrow(run, extended(documents, n_tokens="long", ids_sha256="string", decoded_sha256="string"))
+
+
 def op1_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
-    path = vocabulary or public_tokenizers.path(VOCABULARY)
-    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    back = decode(coded, path)
-    return back.select(
-        "doc_id",
-        "n_tokens",
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
-    )
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = digests(documents, vocabulary or public_tokenizers.path(VOCABULARY))
+    return got.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from slotline.sources.files import shared_folder
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD_BREAKS = " \t\n\x0b\x0c\r"
 
@@ -26,16 +27,6 @@ def fold(key: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit(""))), F.lit(modulus))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder: spark.checkpoint.dir, or one set here where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(where)
-        where = spark.sparkContext.getCheckpointDir()
-    return where.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
@@ -44,6 +35,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_MACHINE: dict = {}
+
+
+def machine(key: object, make: Callable[[], object]):
+    """What ``make`` builds for ``key`` (a broadcast value), kept in this worker from task to task. A worker keeps one
+    machine at a time: opening another, or none (``release``), lets go of the tables of the one before."""
+    if _MACHINE.get("of") is not key:
+        _MACHINE.clear()
+        _MACHINE["is"], _MACHINE["of"] = make(), key
+    return _MACHINE["is"]
+
+
+def release() -> None:
+    """Lets go of the machine that an operator run before in this worker has left."""
+    _MACHINE.clear()
+
+
 def map_rows(
     df: DataFrame,
     schema: T.StructType | str,
@@ -59,6 +67,7 @@ def map_rows(
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         arrow = to_arrow_schema(schema)
         each = make()
         for batch in batches:
