@@ -13,8 +13,9 @@ Null and empty texts have the end token alone. Repeated rows are packed each. Ex
 
 from __future__ import annotations
 
+import json
 import os
-import struct
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -27,40 +28,118 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slotline.llm.byte_bpe import LATIN1_LETTERS
 from slotline.llm.byte_bpe import pieces as split_text
-from slotline.llm.common import extended, table, written
+from slotline.llm.common import extended, machine, table, written
 
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 1024
 END = 2  #: the id that closes each document
 MAX_WORDS = 600_000  #: encoded words kept by a worker (about 0.2 kB each)
+TOGETHER = 512  #: new words given to the tokenizer as one text
 
 
-class WordTable:
-    """Packed ids of a text through the tokenizer; a bounded table holds those of words seen before."""
+#: A word that starts with its only space and goes on in letters of Latin-1: many of them, end to end, are split where
+#: each starts.
+PLAIN = re.compile(rf" [{LATIN1_LETTERS}]+").fullmatch
+
+
+class WordTable(dict):
+    """Ids of texts through the tokenizer. A bounded table, this dict, gives words seen before their places; their ids lie
+    end to end in ``flat``. The tokenizer's added tokens are cut out of a text before it is split into words, so a text
+    with one goes to the tokenizer whole."""
 
     def __init__(self, description: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(description)
-        self.tokenizer.encode_special_tokens = True  # the strings of special tokens are ordinary text
-        self.known: dict[str, bytes] = {}  #: a plain dict, which set.difference looks words up in
-
-    def encode(self, text: str | None) -> bytes:
-        words, known = split_text(text) if text else [], self.known
-        new = list(set(words).difference(known))
-        if len(known) + len(new) > MAX_WORDS:
-            known.clear()
-            new = list(set(words))
-        if new:
-            for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                ids = found.ids
-                known[word] = struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join(map(known.__getitem__, words))
-
-
-_TABLE: dict = {}
+        self.added = [x["content"] for x in json.loads(description)["added_tokens"]]
+        self.starts_word = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.starts_word[i] = token[0] == "\u0120"  # how byte-level vocabularies write the space
+        self.fresh: list[str] = []
+        self.begin()
+
+    def begin(self) -> None:
+        self.clear()
+        self.flat, self.used = np.zeros(1 << 16, dtype="<u4"), 0
+        self.first, self.size = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        self[word] = place = len(self)
+        return place
+
+    def learn(self) -> None:
+        """Ids of the words met since the last call."""
+        words, base = self.fresh, len(self) - len(self.fresh)
+        self.fresh = []
+        size = np.zeros(len(words), dtype=np.int64)
+        ids: list[np.ndarray] = []
+        odd: list[int] = []
+        order: list[int] = []
+        plain = [i for i, w in enumerate(words) if PLAIN(w)]
+        for at in range(0, len(plain), TOGETHER):
+            part = plain[at : at + TOGETHER]
+            found = self.tokenizer.encode_batch_fast(["".join([words[i] for i in part])], add_special_tokens=False)[0].ids
+            found = np.array(found, dtype="<u4")
+            starts = np.flatnonzero(self.starts_word[found])
+            if len(starts) == len(part):
+                size[part] = np.diff(np.append(starts, len(found)))
+                ids.append(found)
+                order += part
+            else:
+                odd += part
+        odd += sorted(set(range(len(words))).difference(plain))
+        for i, found in zip(odd, self.tokenizer.encode_batch_fast([words[i] for i in odd], add_special_tokens=False)):
+            ids.append(np.array(found.ids, dtype="<u4"))
+            size[i] = len(ids[-1])
+        order += odd
+        new = np.concatenate([np.zeros(0, dtype="<u4"), *ids])
+        self.flat = room(self.flat, self.used + len(new))
+        self.first, self.size = room(self.first, len(self)), room(self.size, len(self))
+        self.flat[self.used : self.used + len(new)] = new
+        self.size[base : len(self)] = size
+        self.first[base + np.array(order, dtype=np.int64)] = self.used + np.cumsum(size[order]) - size[order]
+        self.used += len(new)
+
+    def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
+        """The ids of each text, closed by ``end``."""
+        if len(self) > MAX_WORDS:
+            self.begin()
+        places, whole = [], {}
+        for k, text in enumerate(texts):
+            if text and any(x in text for x in self.added):
+                whole[k] = np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, end], dtype="<u4")
+                text = None
+            words = split_text(text) if text else []
+            places.append(np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words)))
+        if self.fresh:
+            self.learn()
+        out = []
+        for k, place in enumerate(places):
+            if k in whole:
+                out.append(whole[k])
+                continue
+            size = self.size[place]
+            upto = np.cumsum(size)
+            total = int(upto[-1]) if len(upto) else 0
+            ids = np.empty(total + 1, dtype="<u4")
+            ids[:total] = self.flat[np.arange(total) + np.repeat(self.first[place] - (upto - size), size)]
+            ids[total] = end
+            out.append(ids)
+        return out
+
+
+def room(a: np.ndarray, n: int) -> np.ndarray:
+    """``a`` with place for n at least."""
+    if n <= len(a):
+        return a
+    grown = np.zeros(max(n, len(a) * 3 // 2), dtype=a.dtype)
+    grown[: len(a)] = a
+    return grown
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -75,18 +154,17 @@ def tokenized(documents: DataFrame, path: str, capacity: int, with_ids: bool) ->
         held = documents.sparkSession.sparkContext.broadcast(f.read())
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
     schema = T._parse_datatype_string(kinds + (", ids binary" if with_ids else ""))
-    end = struct.pack("<I", END)
 
     def run(batches):
-        if _TABLE.get("of") is not held.value:
-            _TABLE["of"], _TABLE["is"] = held.value, WordTable(held.value)
-        words, task, made = _TABLE["is"], TaskContext.get().partitionId(), {}
+        words = machine(held.value, lambda: WordTable(held.value))
+        task, made = TaskContext.get().partitionId(), {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, out = batch.slice(at, 256), []
-                for doc_id, text in zip(*(c.to_pylist() for c in part.columns)):
-                    ids = words.encode(text) + end
-                    for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
+                every = words.encode(part.column(1).to_pylist(), END)
+                for doc_id, ids in zip(part.column(0).to_pylist(), every):
+                    ids, n = ids.tobytes(), len(ids)
+                    for k, (start, length) in enumerate(cut(n, capacity)):
                         own = ids[4 * start : 4 * (start + length)]
                         rank = made[length] = made.get(length, -1) + 1
                         row = (doc_id, k, start, length, zlib.crc32(own), task, rank)
