@@ -1,48 +1,51 @@
 """Secret scans with DataFrame functions alone: fixed patterns, and a likelihood ratio of two character models.
 
 Method. Two first-order Markov models over the characters of ``ALPHABET`` (anything else is one further character)
-are trained from labelled samples: random strings are the values that the fixed patterns found, ordinary identifiers
-the long words of documents in which they found none. Both samples are bounded (``SAMPLE``); every count has one
-added. A further run of 20 or more such characters with both a letter and a digit is a secret if the mean
-log-likelihood ratio of its steps, random against ordinary, is over ``MARGIN``, and it touches no fixed span.
-
-Null and empty texts have no spans. Without a random sample that model is uniform. The scan writes one small table
-(spans only, never texts) to the shared folder; repeated rows are kept, extra columns are not read.
+are trained from labelled samples. The fixed patterns label: the values that they match are random strings, the runs of
+such characters in documents where they match nothing are ordinary identifiers (words, numbers). Both samples hold
+distinct values, the random ones at most ``SAMPLE`` and the ordinary ones from at most ``SAMPLE`` documents; every count
+has one added. A quarter of each, told by a hash, is not trained on: the threshold of the mean log-likelihood ratio of a
+value's steps lies midway between the low end of the held-out secrets (all but 5 % are above) and the high end of the
+held-out ordinary runs (one in a thousand is above), or at the latter if they overlap. Then every run of ``LEAST`` or
+more such characters in every text is judged by the models alone, letters and digits alike, also within what a pattern
+matched: span kind ``random``.
+
+Null and empty texts have no spans. A text of any length is read whole; repeated rows are kept and get the same spans; a
+ratio equal to the threshold is not a secret. An empty table gives an empty result. Without a random sample its model is
+uniform and the threshold ``MARGIN``. Extra columns are not read. Nothing is written to scratch.
 """
 
 from __future__ import annotations
 
+from math import log
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotline.llm import spans as S
-from slotline.llm.common import table, written
+from slotline.llm.common import table
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]{16,}+"
 HEX = "[0-9a-f]{24,}+"
-CANDIDATE = "[A-Za-z0-9+/_=-]{20,}+"
+CHARACTERS = "A-Za-z0-9+/_=-"
+LEAST = 16  #: characters of a run that is judged
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-SAMPLE = 4_000  #: secrets, and documents for ordinary words, that the models are trained from, at most
-MARGIN = 0.4  #: nats per step
+SAMPLE = 4_000  #: distinct secrets, and documents for ordinary runs, that the models are trained from, at most
+HELD_OUT = 4  #: one in so many sampled values calibrates the threshold
+MARGIN = 0.4  #: nats per step, where no secret is known
 
 
-def scanned(documents: DataFrame) -> DataFrame:
-    """(doc_id, found, candidates): fixed spans, and runs that the models are to judge."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def fixed(text: Column) -> Column:
+    """Spans of the three patterns."""
     every = lambda v: F.lit(True)
-    fixed = F.concat(
+    return F.concat(
         S.matches(text, ASSIGN, 0, lambda v: F.length(v) >= 6, group=1),
         S.matches(text, ACCESS, 1, every),
         S.matches(text, HEX, 2, every),
     )
-    maybe = S.matches(text, CANDIDATE, 3, lambda v: v.rlike("[A-Za-z]") & v.rlike("[0-9]"))
-    rows = documents.select("doc_id", fixed.alias("found"), maybe.alias("runs"))
-    apart = F.filter(
-        "runs", lambda r: ~F.exists("found", lambda s: (s["start"] < r["end"]) & (r["start"] < s["end"]))
-    )
-    return rows.select("doc_id", "found", apart.alias("candidates"))
 
 
 def pairs(value: Column) -> Column:
@@ -52,30 +55,28 @@ def pairs(value: Column) -> Column:
     return F.arrays_zip(F.slice(chars, 1, last).alias("a"), F.slice(chars, 2, last).alias("b"))
 
 
-def steps(words: DataFrame, column: str) -> DataFrame:
-    """Counts of character steps (a, b)."""
-    return words.select(F.explode(pairs(F.col(column))).alias("p")).groupBy("p.a", "p.b").count()
+def samples(documents: DataFrame, sample: int) -> DataFrame:
+    """(random, w, held): distinct labelled values; ``held`` ones are for the threshold."""
+    text = F.col("text")
+    found = documents.filter(text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX)).select(fixed(text).alias("found"))
+    secrets = found.select(F.explode("found.value").alias("w")).distinct().orderBy(F.xxhash64("w"), "w").limit(sample)
+    plain = documents.filter(~(text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX)) & F.col("doc_id").isNotNull())
+    chosen = F.broadcast(plain.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct())
+    runs = F.filter(F.split("text", f"[^{CHARACTERS}]+"), lambda w: F.length(w) >= 6)
+    ordinary = plain.join(chosen, "doc_id", "left_semi").select(F.explode(runs).alias("w")).distinct()
+    both = secrets.withColumn("random", F.lit(True)).unionByName(ordinary.withColumn("random", F.lit(False)))
+    return both.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "w"), F.lit(HELD_OUT)) == 0)
 
 
-def ratios(documents: DataFrame, scan: DataFrame, sample: int = SAMPLE) -> list[float]:
+def ratios(labelled: DataFrame) -> list[float]:
     """The log-likelihood ratio of each step, row by row: a table of fixed size, whatever the input's."""
     size = len(ALPHABET) + 1
-    secrets = scan.select(F.explode("found.value").alias("w")).distinct().orderBy(F.xxhash64("w"), "w").limit(sample)
-    plain = scan.filter((F.size("found") == 0) & F.col("doc_id").isNotNull()).select("doc_id")
-    chosen = F.broadcast(plain.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    texts = documents.join(chosen, "doc_id", "left_semi")
-    words = texts.select(
-        F.explode(F.filter(F.split("text", r"[^A-Za-z0-9+/_=-]+"), lambda w: F.length(w) >= 6)).alias("w")
-    )
-    table_of = []
-    for frame in (secrets, words):
-        counts = [[1.0] * size for _ in range(size)]
-        for a, b, n in frame.transform(steps, "w").collect():  # at most size * size rows
-            counts[a][b] += n
-        table_of.append([[c / sum(row) for c in row] for row in counts])
-    from math import log
-
-    return [log(r / p) for random, usual in zip(*table_of) for r, p in zip(random, usual)]
+    counts = {kind: [[1.0] * size for _ in range(size)] for kind in (True, False)}
+    each = labelled.filter(~F.col("held")).select("random", F.explode(pairs(F.col("w"))).alias("p"))
+    for kind, a, b, n in each.groupBy("random", "p.a", "p.b").count().collect():  # at most 2 * size * size rows
+        counts[kind][a][b] += n
+    share = {kind: [[c / sum(row) for c in row] for row in rows] for kind, rows in counts.items()}
+    return [log(r / p) for random, usual in zip(share[True], share[False]) for r, p in zip(random, usual)]
 
 
 def likely(value: Column, ratio: list[float]) -> Column:
@@ -88,13 +89,33 @@ def likely(value: Column, ratio: list[float]) -> Column:
     return total / (F.length(value) - 1)
 
 
-def secrets(documents: DataFrame, sample: int = SAMPLE, margin: float = MARGIN) -> DataFrame:
-    """(doc_id, found, added): fixed spans, and those that the models add; one row for each input row."""
+def threshold(labelled: DataFrame, ratio: list[float]) -> float:
+    """The ratio above which a run is a secret, from the held-out values."""
+    scores = labelled.filter(F.col("held")).withColumn("score", likely(F.col("w"), ratio))
+    low = F.expr("percentile(if(random, score, null), 0.05)")
+    high = F.expr(f"percentile(if(not random and length(w) >= {LEAST}, score, null), 0.999)")
+    low, high = scores.agg(low, high).first()
+    if low is None:
+        return MARGIN
+    return low - 0.1 if high is None else max((low + high) / 2, high)
+
+
+def fit(documents: DataFrame, sample: int = SAMPLE) -> tuple[list[float], float]:
+    """The models' ratios and the threshold. ``documents``: doc_id, text."""
+    labelled = samples(documents, sample).persist(StorageLevel.MEMORY_ONLY)  # bounded; never on disk, lost parts are made again
+    ratio = ratios(labelled)
+    margin = threshold(labelled, ratio)
+    labelled.unpersist()
+    return ratio, margin
+
+
+def secrets(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, found, added): fixed spans, and those that the models find; one row for each input row."""
     documents = documents.select("doc_id", "text")
-    scan = written(scanned(documents), "secrets")
-    ratio = ratios(documents, scan, sample)
-    added = F.filter("candidates", lambda s: likely(s["value"], ratio) > margin)
-    return scan.select("doc_id", "found", F.when(F.size("candidates") > 0, added).otherwise(S.none()).alias("added"))
+    ratio, margin = fit(documents, sample)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    added = S.matches(text, f"[{CHARACTERS}]{{{LEAST},}}+", 3, lambda v: likely(v, ratio) > margin)
+    return documents.select("doc_id", fixed(text).alias("found"), added.alias("added"))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
