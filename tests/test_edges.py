@@ -191,3 +191,15 @@ def test_listings_do_not_grow_with_their_tables(spark, tmp_path):
     ):
         held = [r[0].count(mark) for r in view(spark, str(tmp_path)).select(column).collect()]
         assert sum(held) == n and max(held) <= 1_000
+
+
+def test_queries_refuse_another_zone(spark, sf):
+    from slotline.plans import registry
+
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Vilnius")
+    try:
+        with pytest.raises(ValueError):
+            registry.QUERIES["slot_manifest"](spark, sf)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert registry.in_utc(spark)
