@@ -5,10 +5,11 @@ weights of its features: affixes, character n-grams (hashed), and a lexicon of w
 transition weight. Weights maximise the labels' conditional likelihood (forward-backward gradients, Adam, L2) on
 sequences spliced from pieces of documents of several languages, as code-switched text is, so that the transitions
 learn how long a language lasts. At prediction, forward-backward gives each word its probabilities; a document's
-language has the largest sum of them over its words with letters, and its score is the mean.
+language has the largest sum of them over its words with letters, and its score is the mean. Words of any length have
+all their features.
 
-The documents learned from are a bounded sample (``SAMPLE``); all whole texts are labelled. A null text or one without
-a letter is ``und`` with score 0. Without labelled documents every text is ``und``. Ties go to the first language by
+The documents learned from are a bounded sample (``SAMPLE``); all whole texts are labelled, very long ones in a batch of
+their own. A null text or one without a letter (a character of category L) is ``und`` with score 0. Without labelled documents every text is ``und``. Ties go to the first language by
 name. Repeated rows are labelled alike; extra columns pass through ``label``, whose own columns replace inputs of the
 same name.
 """
@@ -16,6 +17,7 @@ same name.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,18 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotline.llm.common import extended, fold, table
+from slotline.llm.common import extended, fold, machine, table
 
 SAMPLE = 3_000  #: documents learned from, at most
 LENGTH, PIECE = 48, (4, 16)  #: words in a training sequence, and in each of its pieces
 SEQUENCES = 4_000
 BUCKETS = 1 << 15
 EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.08, 1e-4
-MAX_WORDS = 300_000  #: words whose scores a worker keeps
-CELLS = 400_000  #: words padded into one batch of chains
-TEXTS = 4096  #: texts sorted by length before they are put into batches
+MAX_WORDS = 400_000  #: words whose scores a worker keeps
+CELLS = 200_000  #: words padded into one batch of chains
+TEXTS = 2048  #: texts sorted by length before they are put into batches
 MARKS = ".,;:!?\"'()[]|*#$%&"
-WIDE = 24  #: letters of a word that features look at
+WIDE = 24  #: letters that words are padded to; longer ones to twice as many, and so on
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -43,16 +45,16 @@ def words_of(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
-def feature_ids(words: list[str]) -> np.ndarray:
-    """Buckets of words' features, one row per word, 0 where there is none: all 1- to 3-grams with the word's ends
-    marked, its first three and last three and four letters, and the word itself. Of a word over ``WIDE`` letters both
-    ends count."""
-    half = WIDE // 2
-    bare = [w.strip(MARKS) for w in words]
-    bare = [w if len(w) <= WIDE else w[:half] + w[-half:] for w in bare]
-    codes = np.array(bare, dtype=f"<U{WIDE}").view("<u4").reshape(len(words), WIDE).astype(np.uint64)
-    n = np.fromiter(map(len, bare), dtype=np.int64, count=len(bare))
-    marked = np.zeros((len(words), WIDE + 2), dtype=np.uint64)
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
+def feature_ids(words: list[str], wide: int) -> np.ndarray:
+    """Buckets of the features of words of at most ``wide`` letters, one row per word, 0 where there is none: all 1- to
+    3-grams with the word's ends marked, its first three and last three and four letters, and the word itself."""
+    codes = np.array(words, dtype=f"<U{wide}").view("<u4").reshape(len(words), wide).astype(np.uint64)
+    n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    marked = np.zeros((len(words), wide + 2), dtype=np.uint64)
     marked[:, 0] = 2
     marked[:, 1:-1] = codes
     rows = np.arange(len(words))
@@ -65,15 +67,15 @@ def feature_ids(words: list[str]) -> np.ndarray:
             h = h ^ (h >> np.uint64(32))
             return np.where(there, (h % np.uint64(BUCKETS - 1)).astype(np.int64) + 1, 0)
 
-        rolled = np.zeros((len(words), WIDE + 2), dtype=np.uint64)
+        rolled = np.zeros((len(words), wide + 2), dtype=np.uint64)
         for k in (1, 2, 3):
-            width = WIDE + 3 - k
+            width = wide + 3 - k
             rolled = rolled[:, :width] * np.uint64(0x9E3779B97F4A7C15) + marked[:, k - 1 : k - 1 + width] + np.uint64(k)
             out.append(bucket(rolled, np.arange(width) + k <= n[:, None] + 2))
-        for tag, at, k in ((11, np.zeros_like(n), 4), (12, n - 2, 4), (13, n - 3, 5), (14, None, WIDE)):
+        for tag, at, k in ((11, np.zeros_like(n), 4), (12, n - 2, 4), (13, n - 3, 5), (14, None, wide)):
             h = np.full(len(words), tag, dtype=np.uint64)
-            for j in range(k):
-                letter = codes[:, j] if at is None else marked[rows, np.clip(at + j, 0, WIDE + 1)]
+            for j in range(k):  # a word's length tells its group, so its own feature is the same wherever it stands
+                letter = codes[:, j] if at is None else marked[rows, np.clip(at + j, 0, wide + 1)]
                 h = h * np.uint64(0x9E3779B97F4A7C15) + letter
             out.append(bucket(h, n >= (1 if at is None else k - 1))[:, None])
     ids = np.concatenate(out, axis=1)
@@ -81,13 +83,46 @@ def feature_ids(words: list[str]) -> np.ndarray:
     return ids
 
 
+def width_groups(words: list[str]) -> Iterator[tuple[np.ndarray, list[str], int]]:
+    """Words without the marks around them, in groups that are padded to one width: places, words and the width, which
+    doubles from WIDE on, so that long words have all their features and short ones pay nothing for them."""
+    bare = [w.strip(MARKS) for w in words]
+    size = np.fromiter(map(len, bare), dtype=np.int64, count=len(bare))
+    level = np.ceil(np.log2(np.maximum(size, WIDE) / WIDE)).astype(np.int64)
+    for step in np.unique(level).tolist():
+        at = np.flatnonzero(level == step)
+        wide = WIDE << step
+        rows = max(1, 4096 * WIDE // wide)
+        for k in range(0, len(at), rows):
+            part = at[k : k + rows]
+            yield part, [bare[i] for i in part.tolist()], wide
+
+
+def feature_lists(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All words' features end to end, and how many each word has; a word without any has the void feature 0."""
+    size, parts = np.ones(len(words), dtype=np.int64), []
+    for at, bare, wide in width_groups(words):
+        ids = feature_ids(bare, wide)
+        n = (ids > 0).sum(axis=1)
+        size[at] = np.maximum(n, 1)
+        ids[n == 0, 0] = -1
+        kept = ids[ids != 0]
+        parts.append((at, np.maximum(kept, 0)))
+    start = np.cumsum(size) - size
+    flat = np.zeros(int(size.sum()), dtype=np.int64)
+    for at, kept in parts:
+        own = size[at]
+        flat[np.repeat(start[at] - (np.cumsum(own) - own), own) + np.arange(len(kept))] = kept
+    return flat, size
+
+
 def forward_backward(scores: np.ndarray, move: np.ndarray, mask: np.ndarray, count: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginals [n, t, y], expected transitions [y, y] and log partitions [n]. scores: [n, t, y], padded at the end.
     ``count``: whether the transitions are wanted."""
     n, t, y = scores.shape
     top = scores.max(axis=2, keepdims=True)
     local = np.exp(scores - top)
-    step = np.exp(move)
+    step = np.exp(move).astype(scores.dtype)
     forth, scale = np.empty_like(local), np.ones((n, t))
     now = local[:, 0]
     for k in range(t):
@@ -141,7 +176,8 @@ class Model:
             labels.append(label[:LENGTH])
         place: dict[str, int] = {}
         at_word = np.array([[place.setdefault(w, len(place)) for w in chain] for chain in chains])
-        known = feature_ids(list(place))
+        flat_of, size_of = feature_lists(list(place))
+        first_of = np.cumsum(size_of) - size_of
         gold = np.array(labels)
         weight, move = np.zeros((BUCKETS, y)), np.zeros((y, y))
         moments = [np.zeros_like(weight), np.zeros_like(weight), np.zeros_like(move), np.zeros_like(move)]
@@ -151,10 +187,12 @@ class Model:
             order = rng.permutation(len(chains))
             for at in range(0, len(order) - BATCH + 1, BATCH):
                 picked = order[at : at + BATCH]
-                ids = known[at_word[picked].ravel()]
-                scores = weight[ids].sum(axis=1)
-                word, column = np.nonzero(ids)
-                flat = ids[word, column]
+                words = at_word[picked].ravel()
+                size = size_of[words]
+                start = np.cumsum(size) - size
+                flat = flat_of[np.arange(int(size.sum())) + np.repeat(first_of[words] - start, size)]
+                scores = np.add.reduceat(weight[flat], start)
+                word = np.repeat(np.arange(len(words)), size)
                 marginal, expected, _ = forward_backward(scores.reshape(BATCH, LENGTH, y), move, mask)
                 truth = np.eye(y)[gold[picked]]
                 error = (marginal - truth).reshape(-1, y) / BATCH
@@ -171,6 +209,7 @@ class Model:
                 m[touched] = 0.9 * m[touched] + 0.1 * grad
                 v[touched] = 0.999 * v[touched] + 0.001 * grad**2
                 weight[touched] -= rate * m[touched] / (np.sqrt(v[touched]) + 1e-8)
+                weight[0] = 0  # the void feature
                 mm[:] = 0.9 * mm + 0.1 * moved
                 mv[:] = 0.999 * mv + 0.001 * moved**2
                 move -= rate * mm / (np.sqrt(mv) + 1e-8)
@@ -182,18 +221,25 @@ class Labeller:
 
     def __init__(self, model: Model | None):
         self.model = model
+        self.begin()
+
+    def begin(self) -> None:
         self.place: dict[str, int] = {}
-        self.scores = np.zeros((0, 0))
+        self.scores = np.zeros((0, len(self.model.languages) if self.model else 1), dtype=np.float32)
+        self.lettered = np.zeros(0, dtype=bool)
 
     def places(self, words: list[str]) -> np.ndarray:
-        new = [w for w in set(words) if w not in self.place]
+        new = list(set(words).difference(self.place))
         if new:
-            made = np.concatenate([self.model.weight[feature_ids(new[k : k + 4096])].sum(axis=1) for k in range(0, len(new), 4096)])
             base = len(self.place)
             self.place.update(zip(new, range(base, base + len(new))))
-            while len(self.scores) < base + len(new):
-                self.scores = np.concatenate([self.scores, np.zeros((max(len(self.scores), 4096), made.shape[1]))]) if self.scores.size else np.zeros((max(4096, len(new)), made.shape[1]))
-            self.scores[base : base + len(new)] = made
+            if len(self.scores) < base + len(new):
+                size = max(4096, base + len(new), len(self.scores) * 3 // 2)
+                self.scores = np.concatenate([self.scores, np.zeros((size - len(self.scores), self.scores.shape[1]), dtype=np.float32)])
+                self.lettered = np.concatenate([self.lettered, np.zeros(size - len(self.lettered), dtype=bool)])
+            for at, bare, wide in width_groups(new):
+                self.scores[base + at] = self.model.weight[feature_ids(bare, wide)].sum(axis=1)
+            self.lettered[base : base + len(new)] = list(map(has_letter, new))
         return np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -201,8 +247,8 @@ class Labeller:
         if self.model is None:
             return out
         if len(self.place) > MAX_WORDS:
-            self.place.clear()
-        chains = [(i, words_of(t)) for i, t in enumerate(texts) if t and LETTER.search(t)]
+            self.begin()
+        chains = [(i, words_of(t)) for i, t in enumerate(texts) if t and has_letter(t)]
         chains = sorted(((i, self.places(w)) for i, w in chains if w), key=lambda x: len(x[1]))
         at = 0
         while at < len(chains):
@@ -215,7 +261,8 @@ class Labeller:
             for k, (_, x) in enumerate(part):
                 ids[k, : len(x)], mask[k, : len(x)] = x, True
             marginal, _, _ = forward_backward(self.scores[ids], self.model.move, mask, count=False)
-            share = (marginal * mask[:, :, None]).sum(axis=1) / mask.sum(axis=1)[:, None]
+            told = (mask & self.lettered[ids]).astype(np.float32)
+            share = (told[:, None, :] @ marginal)[:, 0] / told.sum(axis=1)[:, None]
             for (i, _), s in zip(part, share):
                 best = int(s.argmax())
                 out[i] = (self.model.languages[best], float(min(1.0, s[best])))
@@ -223,9 +270,6 @@ class Labeller:
         return out
 
 
-_LABELLER: dict = {}
-
-
 def fit(documents: DataFrame, limit: int = SAMPLE) -> Model | None:
     """A model from at most ``limit`` documents with a lang whose fold of 3 is not 1, those with the smallest id hash."""
     known = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), 3) != 1))
@@ -242,12 +286,11 @@ def label(documents: DataFrame, model: Model | None) -> DataFrame:
     place = documents.columns.index("text")
 
     def run(batches):
-        if _LABELLER.get("of") is not held:
-            _LABELLER["of"], _LABELLER["is"] = held, Labeller(held.value)
+        labeller = machine(held.value, lambda: Labeller(held.value))
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
-                got = _LABELLER["is"].predict(part.column(place).to_pylist())
+                got = labeller.predict(part.column(place).to_pylist())
                 columns = [pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, *columns], names=[*part.schema.names, "lang_pred", "lang_score"]
