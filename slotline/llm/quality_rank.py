@@ -6,8 +6,9 @@ sigmoid(w . (x_a - x_b)), by logistic loss on the feature differences with an L2
 then put on a scale from 0 to 1 by a logistic curve through the quantile of the strengths that parts the good
 from the bad rows best: a document at that quantile scores ``CUT``.
 
-Null and empty texts have all statistics zero and get the score of such a vector. Without labelled rows of both
-kinds every score is 0.5. Repeated rows score alike; extra columns of the input pass through ``score``, whose own
+The sampled rows are put in one order before the pairs are drawn, so a fit does not depend on how rows are dealt. Null and
+empty texts have all statistics zero and get the score of such a vector; texts of any length are read whole. Without labelled rows of both
+kinds, as with empty tables, every score is 0.5. Repeated rows score alike; extra columns of the input pass through ``score``, whose own
 columns replace inputs of the same name.
 """
 
@@ -86,9 +87,11 @@ def fit(spark: SparkSession, documents: DataFrame, sf_dir: str, limit: int = SAM
     def make():
         return lambda doc_id, text: (doc_id, vector(text))
 
-    got = map_rows(chosen, "doc_id long, x array<double>", make).join(labels, "doc_id").select("x", "quality").collect()
+    got = map_rows(chosen, "doc_id long, x array<double>", make).join(labels, "doc_id")
+    got = got.select(F.xxhash64("doc_id").alias("h"), "doc_id", "x", "quality").collect()
     if not got:
         return None
+    got = sorted(got, key=lambda r: (r.h, r.doc_id, r.quality, r.x))  # whatever order the tasks came in
     return Ranker.fit(np.array([r.x for r in got]), np.array([r.quality == 1 for r in got]))
 
 

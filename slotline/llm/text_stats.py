@@ -7,7 +7,7 @@ import operator
 import numpy as np
 
 #: Characters that count as symbols.
-SYMBOLS = "[#*$%&|<>]"[1:-1]
+SYMBOLS = "#*$%&|<>"
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _DIGITS = b"0123456789"
 _MARKS = b".,;:!?"
