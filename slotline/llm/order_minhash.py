@@ -8,8 +8,10 @@ falls with edit distance, not merely with shared content. Likeness is the share
 either fingerprint has.
 
 Null and empty texts have no k-mers: an empty fingerprint, like another empty one (likeness 1) and unlike any other.
-Texts of fewer than ``K`` units have one k-mer, padded. Equal texts have equal fingerprints. A place in the text
-takes 24 bits: k-mers beyond the first 16,777,215 units share the last place. Extra columns are not read.
+Texts of fewer than ``K`` units have one k-mer, padded. Equal texts have equal fingerprints. A place in the text takes 30
+bits, more than the units of the longest string that Spark holds, so order is kept in texts of any length. Equal hashes
+of one text are told apart by occurrence and place, so ties are settled alike everywhere. An empty table gives an empty
+result. Columns other than doc_id and text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from slotline.llm.common import table, written
 UNIT, K, ORDER = 24, 2, 2
 BUCKET_BITS = 6
 BUCKETS = 1 << BUCKET_BITS
-PLACE_BITS = 24
+PLACE_BITS = 30  #: the longest string has fewer units than places
 PLACE = (1 << PLACE_BITS) - 1
 
 
@@ -66,8 +68,7 @@ def _occurrences(v: Column) -> Column:
 
     def number(x: Column, i: Column) -> Column:
         back = F.lit(0)
-        step = 1 << 23
-        steps = F.array(*[F.lit(step >> s) for s in range(24)])
+        steps = F.array(*[F.lit(1 << s) for s in range(PLACE_BITS - 1, -1, -1)])
         return F.aggregate(
             steps,
             back,
