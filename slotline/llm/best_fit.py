@@ -2,13 +2,15 @@
 
 Method. Documents become ids and are cut into pieces of at most ``CAPACITY`` tokens; only how many pieces there are of
 each length matters for packing, and that histogram has at most ``CAPACITY`` rows whatever the input's size. On it,
-for each length from the longest down, the gap it leaves is looked up among single lengths, sums of two and sums of
-three that are still available, and combinations that fill the gap exactly are consumed as often as their scarcest
+for each length from the longest down, the gap it leaves is looked up in an index of single lengths, sums of two and sums
+of three that are still available, and combinations that fill the gap exactly are consumed as often as their scarcest
 length allows. What remains is packed best-fit decreasing. The plan, a list of combinations with multiplicities, is
 broadcast (its size depends on ``CAPACITY`` alone), and every piece finds its place from its rank among the pieces of
 its length. Ranks come from per-task counts and their running sums, so no task holds all pieces of a length.
 
-Null and empty texts have the end token alone. Repeated rows are packed each. Extra columns are not read.
+Null and empty texts have the end token alone. Texts of any length are read whole. Repeated rows and rows without an id
+are packed each. An empty table gives an empty result. Columns other than doc_id and text are not read, so their names
+cannot clash. Pieces of equal length may change places from run to run; how many sequences there are does not.
 """
 
 from __future__ import annotations
@@ -181,26 +183,49 @@ def to_arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def complement(left: np.ndarray, gap: int, longest: int) -> tuple[int, ...] | None:
+class Sums:
+    """Which one, two or three available lengths add up to a sum. For each sum the index keeps the place of its first
+    combination still available, longest first. Lengths are only ever used up, and none over the one in hand is asked
+    for again, so places move one way and each combination is passed once."""
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        self.pairs: dict[tuple[int, int], int] = {}  #: (sum, least bound that counts) to the longer length
+        self.triples: dict[int, int] = {}  #: sum to the longest length
+
+    def single(self, total: int, longest: int) -> tuple[int, ...] | None:
+        return (total,) if 0 < total <= longest and self.left[total] > 0 else None
+
+    def pair(self, total: int, longest: int, within: int = 0) -> tuple[int, ...] | None:
+        """``within``: the length of a triple that the pair is to complete, one of which is taken; 0: none."""
+        left, key = self.left, (total, within)
+        a = min(self.pairs.get(key, total - 1), total - 1, within or longest)
+        while 2 * a >= total:
+            b = total - a
+            need = (a == within) + (b == within)
+            if left[a] > (a == b) + (a == within) and left[b] > (b == within) + (a == b) and left[within or a] >= need:
+                self.pairs[key] = a
+                return (a, b)
+            a -= 1
+        self.pairs[key] = 0
+        return None
+
+    def triple(self, total: int, longest: int) -> tuple[int, ...] | None:
+        a = min(self.triples.get(total, total - 2), total - 2, longest)
+        while 3 * a >= total:
+            rest = self.pair(total - a, longest, within=a) if self.left[a] > 0 else None
+            if rest:
+                self.triples[total] = a
+                return (a, *rest)
+            a -= 1
+        self.triples[total] = 0
+        return None
+
+
+def complement(left: np.ndarray, gap: int, longest: int, sums: Sums | None = None) -> tuple[int, ...] | None:
     """Up to three available lengths, none over ``longest``, that add up to ``gap``; the fewest and longest first."""
-    if gap <= longest and left[gap]:
-        return (gap,)
-    there = left > 0
-    for a in range(min(gap - 1, longest), (gap + 1) // 2 - 1, -1):
-        b = gap - a
-        if there[a] and there[b] and (a != b or left[a] > 1):
-            return (a, b)
-    for a in range(min(gap - 2, longest), (gap + 2) // 3 - 1, -1):
-        if not there[a]:
-            continue
-        rest = gap - a
-        low = np.arange(max(1, rest - a), rest // 2 + 1)
-        for b in low[there[low] & there[rest - low]][::-1].tolist():
-            c = rest - b
-            need = {x: (a, b, c).count(x) for x in (a, b, c)}
-            if all(left[x] >= n for x, n in need.items()):
-                return (a, c, b)
-    return None
+    sums = sums or Sums(left)
+    return sums.single(gap, longest) or sums.pair(gap, longest) or sums.triple(gap, longest)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -209,10 +234,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
     for length, n in counts.items():
         left[length] += n
     found: list[tuple[tuple[int, ...], int]] = []
+    sums = Sums(left)
     for length in range(capacity, 0, -1):
         while left[length]:
             left[length] -= 1  # the one whose gap is to be filled
-            rest = () if length == capacity else complement(left, capacity - length, length)
+            rest = () if length == capacity else complement(left, capacity - length, length, sums)
             left[length] += 1
             if rest is None:
                 break
