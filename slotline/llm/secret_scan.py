@@ -5,14 +5,16 @@ are trained from labelled samples. The fixed patterns label: the values that the
 such characters in documents where they match nothing are ordinary identifiers (words, numbers). Both samples hold
 distinct values, the random ones at most ``SAMPLE`` and the ordinary ones from at most ``SAMPLE`` documents; every count
 has one added. A quarter of each, told by a hash, is not trained on: the threshold of the mean log-likelihood ratio of a
-value's steps lies midway between the low end of the held-out secrets (all but 5 % are above) and the high end of the
-held-out ordinary runs (one in a thousand is above), or at the latter if they overlap. Then every run of ``LEAST`` or
+value's steps lies a quarter of the way from the high end of the held-out ordinary runs (one in a thousand is above) to
+the low end of the held-out secrets (all but 5 % are above), or at the former if they overlap: other kinds of random
+string than the patterns know are less unlike words than those are. Then every run of ``LEAST`` or
 more such characters in every text is judged by the models alone, letters and digits alike, also within what a pattern
 matched: span kind ``random``.
 
 Null and empty texts have no spans. A text of any length is read whole; repeated rows are kept and get the same spans; a
 ratio equal to the threshold is not a secret. An empty table gives an empty result. Without a random sample its model is
-uniform and the threshold ``MARGIN``. Extra columns are not read. Nothing is written to scratch.
+uniform and the threshold ``MARGIN``. Rows without an id are scanned, but no ordinary runs are sampled from them. Columns
+other than doc_id and text are not read, so their names cannot clash. Nothing is written to scratch.
 """
 
 from __future__ import annotations
@@ -97,7 +99,7 @@ def threshold(labelled: DataFrame, ratio: list[float]) -> float:
     low, high = scores.agg(low, high).first()
     if low is None:
         return MARGIN
-    return low - 0.1 if high is None else max((low + high) / 2, high)
+    return low - 0.1 if high is None else high + max(low - high, 0.0) / 4
 
 
 def fit(documents: DataFrame, sample: int = SAMPLE) -> tuple[list[float], float]:
