@@ -190,47 +190,55 @@ class Model:
         dh *= h > 0
         g["mix"] = z.reshape(-1, 2 * WIDTH).T @ dh
         g["mix0"] = dh.sum(axis=0)
-        dz = (dh @ p["mix"].T).reshape(z.shape)
-        dc = dz[:, :, WIDTH:]
+        # whole matrices, contiguous, wherever numpy would else multiply one small one at a time
+        wide = lambda m: m.reshape(-1, WIDTH)
+        dz = dh @ p["mix"].T
+        dc = np.ascontiguousarray(dz[:, WIDTH:]).reshape(q.shape)
         dv = a.transpose(0, 2, 1) @ dc
-        da = dc @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+        ds = dc @ v.transpose(0, 2, 1)
+        ds -= ((ds * a) @ np.ones(SPAN, dtype=np.float32))[:, :, None]
+        ds *= a
         per = np.where(self.BACK >= 0, ds.sum(axis=0), 0)
         g["near"] = np.bincount(np.maximum(self.BACK, 0).ravel(), weights=per.ravel(), minlength=SPAN)
         ds *= np.float32(WIDTH**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        de = dk @ p["key"].T + dv @ p["value"].T
-        de[:, SPAN - STRIDE :] += dz[:, :, :WIDTH] + dq @ p["query"].T
-        wide = lambda m: m.reshape(-1, WIDTH)
-        g["query"] = wide(e[:, SPAN - STRIDE :]).T @ wide(dq)
-        g["key"], g["value"] = wide(e).T @ wide(dk), wide(e).T @ wide(dv)
+        dq, dk = wide(ds @ k), wide(ds.transpose(0, 2, 1) @ q)
+        dv = wide(dv)
+        de = (dk @ p["key"].T + dv @ p["value"].T).reshape(e.shape)
+        de[:, SPAN - STRIDE :] += (dz[:, :WIDTH] + dq @ p["query"].T).reshape(q.shape)
+        g["query"] = wide(np.ascontiguousarray(e[:, SPAN - STRIDE :])).T @ dq
+        g["key"], g["value"] = wide(e).T @ dk, wide(e).T @ dv
+        order = np.argsort(x.ravel().astype(np.int16), kind="stable")
+        rows, first_of = np.unique(x.ravel()[order], return_index=True)
         ge = np.zeros(self.SHAPES["embed"], dtype=np.float32)
-        np.add.at(ge, x.ravel(), wide(de))
+        ge[rows] = np.add.reduceat(wide(de)[order], first_of, axis=0)
         g["embed"] = ge
         return np.concatenate([g[s].ravel() for s in self.SHAPES]).astype(np.float32), loss
 
 
-def train(model: Model, x, valid, target, live, epochs: int, rate: float = 4e-3, batch: int = 32, seed: int = 0) -> float:
-    """Adam on windows, in place; the last epoch's mean loss in nats."""
-    rng = np.random.default_rng(seed)
-    first, second, t, loss = np.zeros_like(model.flat), np.zeros_like(model.flat), 0, 0.0
-    steps = max(1, epochs * -(-len(x) // batch))
-    for _ in range(epochs):
-        losses = []
-        order = rng.permutation(len(x))
-        for at in range(0, len(order), batch):
-            i = order[at : at + batch]
-            grad, one = model.gradient(x[i], valid[i], target[i], live[i])
-            losses.append(one)
-            t += 1
-            first *= 0.9
-            first += 0.1 * grad
-            second *= 0.99
-            second += 0.01 * grad * grad
-            now = rate * (1 - t / (steps + 1)) * min(1.0, t / 20)
-            model.flat -= now * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-7)
-        loss = float(np.mean(losses))
-    return loss
+class Trainer:
+    """Adam on a model's weights, in place: a few steps of warming up, then a rate that falls with their root."""
+
+    def __init__(self, model: Model, rate: float, batch: int = 64, seed: int = 0):
+        self.model, self.rate, self.batch = model, rate, batch
+        self.rng = np.random.default_rng(seed)
+        self.first, self.second, self.steps = np.zeros_like(model.flat), np.zeros_like(model.flat), 0
+
+    def learn(self, x, valid, target, live) -> float:
+        """One pass over windows in random order; the mean loss in nats."""
+        losses, order = [], self.rng.permutation(len(x))
+        for at in range(0, len(order), self.batch):
+            i = order[at : at + self.batch]
+            grad, loss = self.model.gradient(x[i], valid[i], target[i], live[i])
+            losses.append(loss)
+            self.steps += 1
+            self.first *= 0.9
+            self.first += 0.1 * grad
+            self.second *= 0.99
+            self.second += 0.01 * grad * grad
+            t = min(self.steps, 1000)
+            now = self.rate * min(1.0, t / 20) / np.sqrt(1.0 + self.steps / 1000)
+            self.model.flat -= now * (self.first / (1 - 0.9**t)) / (np.sqrt(self.second / (1 - 0.99**t)) + 1e-7)
+        return float(np.mean(losses)) if losses else 0.0
 
 
 def token_scores(model: Model, coding: Coding, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:

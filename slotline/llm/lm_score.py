@@ -1,19 +1,20 @@
 """Language-model scores of whole texts, beside unigram base scores.
 
 Method. Words (ASCII lower case) become subword ids of a public vocabulary; a causal self-attention model
-(``attention_lm``) scores every id once in overlapping windows. A word's probability is ``SHARE`` times what the
-attention model gives its ids in context, and for the rest the word's share of all training words. All counts (words,
-ids, tails of classes) cover every training text, and the attention weights learn from all of them: a start on the
-driver from at most ``WARM`` windows of ``FIRST`` texts, then ``ROUNDS`` rounds in which every task trains on the windows
-of all its training texts and the weights are averaged, by their windows, with an aggregation. Windows are made anew in
-each round, as they would take more disk than the texts.
+(``attention_lm``) scores every id once in overlapping windows, and a text's score is the sum over its ids. All counts
+(words, ids, tails of classes) cover every training text, and the attention weights learn from every window of every
+training text once: texts are dealt to ``ROUNDS`` by a hash, small ones first; in a round every task trains from the same
+weights on the windows of its texts of that round, and the weights are averaged, by their windows, with an aggregation.
 
 How it runs. One pass turns texts into blocks of about ``BLOCK`` bytes, each with its own word list and its texts as
-places in that list. Word rows (one per block and distinct word) meet by word in one shuffle for their counts and
-return by block in another; no row per occurrence is ever shuffled, and a word in every text is one row per block.
-
-A null or empty text has the end token alone. Without training texts N and V are 0. Repeated rows score alike. Extra
-columns are not read.
+places in that list. Word rows (one per block and distinct word) are summed by word with partial sums and joined with
+those sums, a join that Spark splits where a word stands in very many blocks; then they return by block. No row per
+occurrence is ever shuffled.
+
+A null or empty text has the end token alone. Very long texts are read whole and may make a block of their own.
+Without training texts N and V are 0 and the weights stay as they began; an empty table gives an empty result. Repeated
+rows and rows without an id are scored like others (a null id is the empty text to the fold), and equal texts score
+alike. Columns other than doc_id and text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -23,18 +24,16 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotline.llm import attention_lm as lm
 from slotline.llm.byte_bpe import read_ranks
-from slotline.llm.common import fold, table, written
+from slotline.llm.common import fold, machine, table, written
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BLOCK = 12_000_000
-FIRST = 2_000
-WARM, WARM_EPOCHS, ROUNDS = 6_000, 3, 2
-SHARE = 0.6
+#: Of each round: sixteenths of the training texts, the rate of learning, and windows in a step.
+ROUNDS = ((1, 3e-2, 32), (3, 1.5e-2, 64), (12, 6e-3, 64))
 ROWS = 65_536  #: word rows in one Arrow batch
 
 
@@ -123,13 +122,8 @@ class Subwords:
         return flat, sizes
 
 
-_OPEN: dict = {}
-
-
 def _subwords(held) -> Subwords:
-    if _OPEN.get("of") is not held.value:
-        _OPEN["of"], _OPEN["is"] = held.value, Subwords(held.value)
-    return _OPEN["is"]
+    return machine(held.value, lambda: Subwords(held.value))
 
 
 def id_counts(vocabulary: DataFrame, held) -> DataFrame:
@@ -189,17 +183,17 @@ def unpacked(xs: list[bytes], ys: list[bytes]):
     return np.maximum(x, 0), x >= 0, np.maximum(y, 0), y >= 0
 
 
-def averaged(windows: DataFrame, model: lm.Model, seed: int) -> lm.Model:
+def averaged(windows: DataFrame, model: lm.Model, rate: float, step: int, seed: int) -> lm.Model:
     """One round: every task trains on its windows from the same weights; the mean of their weights by windows."""
     held = windows.sparkSession.sparkContext.broadcast(model.flat)
 
     def run(batches):
         own, n = lm.Model(held.value.copy()), 0
+        trainer = lm.Trainer(own, rate, step, seed)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                got = unpacked(part.column(0).to_pylist(), part.column(1).to_pylist())
-                lm.train(own, *got, epochs=1, rate=3e-3, seed=seed + n)
+                trainer.learn(*unpacked(part.column(0).to_pylist(), part.column(1).to_pylist()))
                 n += part.num_rows
         if n:
             yield pa.RecordBatch.from_arrays(
@@ -211,6 +205,7 @@ def averaged(windows: DataFrame, model: lm.Model, seed: int) -> lm.Model:
         (F.sum(F.col("w").cast("double") * F.col("n")) / F.sum("n")).alias("w")
     )
     rows = mean.collect()  # one for each weight of the model, whatever the corpus
+    held.unpersist()
     if not rows:
         return model
     flat = np.zeros(len(model.flat), dtype=np.float32)
@@ -220,23 +215,19 @@ def averaged(windows: DataFrame, model: lm.Model, seed: int) -> lm.Model:
 
 
 def fit(documents: DataFrame, counts: np.ndarray, ranks: dict[bytes, int], held) -> tuple[lm.Coding, lm.Model]:
-    """The coding and the model. ``documents``: training texts; ``counts``: of each id in them, the end's last."""
+    """The coding and the model. ``documents``: training texts (doc_id, text); ``counts``: of each id in them, the end's last."""
     texts = [b""] * len(ranks)
     for token, i in ranks.items():
         texts[i] = token
     coding = lm.Coding.from_counts(counts, texts)
     share = np.bincount(coding.classes, weights=counts + 0.5, minlength=lm.GROUPS * lm.MEMBERS) + 1e-9
     model = lm.Model.start(share / share.sum())
-    sc = documents.sparkSession.sparkContext
-    shared = sc.broadcast(coding)
-    begun = documents.select("text").orderBy(F.xxhash64("text"), "text").limit(FIRST)
-    begun = training_windows(begun.repartition(sc.defaultParallelism), held, shared)
-    warm = begun.orderBy(F.xxhash64("x", "y"), "x", "y").limit(WARM).collect()  # a bounded start
-    windows = training_windows(documents, held, shared)
-    if warm:
-        lm.train(model, *unpacked([r.x for r in warm], [r.y for r in warm]), epochs=WARM_EPOCHS, rate=1e-2)
-        for k in range(ROUNDS):
-            model = averaged(windows, model, seed=1000 * k)
+    shared = documents.sparkSession.sparkContext.broadcast(coding)
+    part, low = F.pmod(F.xxhash64("doc_id", "text"), F.lit(16)), 0
+    for k, (share, rate, step) in enumerate(ROUNDS):
+        own = documents.filter((part >= low) & (part < low + share))
+        model = averaged(training_windows(own, held, shared), model, rate, step, seed=k)
+        low += share
     return coding, model
 
 
@@ -249,12 +240,9 @@ def scored(documents: DataFrame, path: str) -> DataFrame:
     both = written(blocked(documents), "blocks")
     texts = both.filter(F.col("places").isNotNull()).select("block", "doc_id", "held_out", "n", "places")
     rows = both.filter(F.col("word").isNotNull()).select("block", "place", "word", "n")
-    same = W.partitionBy("word")
-    rows = rows.select(
-        "block", "place", "word", F.sum("n").over(same).alias("c"), (F.min("block").over(same) == F.col("block")).alias("first")
-    )
-    rows = written(rows, "words")
-    known = rows.filter(F.col("first") & (F.col("c") > 0))
+    vocabulary = written(rows.groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
+    rows = rows.drop("n").join(vocabulary, "word")
+    known = vocabulary.filter(F.col("c") > 0)
     n_texts = texts.filter(~F.col("held_out")).count()
     total = known.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, distinct = total.n + n_texts, total.v + (n_texts > 0)
@@ -272,7 +260,6 @@ def scored(documents: DataFrame, path: str) -> DataFrame:
         words = right.sort_by("place")
         c = np.append(words.column("c").to_numpy(), n_texts).astype(np.float64)
         base = np.log10((c + 0.5) / (n_train + floor))
-        plain = np.log(np.maximum(c, 1e-300) / max(n_train, 1))
         flat, sizes = _subwords(held).of(words.column("word").to_pylist())
         starts = np.cumsum(sizes) - sizes
         model = lm.Model(flat_weights)
@@ -288,14 +275,12 @@ def scored(documents: DataFrame, path: str) -> DataFrame:
                 np.frombuffer(pa.decompress(r, decompressed_size=4 * n, codec="zstd", asbytes=True), dtype="<u4") if n else np.zeros(0, "<u4")
                 for r, n in zip(raw[at:upto], size[at:upto])
             ]
-            ids, lengths, per_word = laid_out(places, starts, sizes, flat, code.end)
+            ids, lengths, _ = laid_out(places, starts, sizes, flat, code.end)
             each = lm.token_scores(model, code, ids, lengths)
-            by_word = np.add.reduceat(each, np.cumsum(per_word) - per_word) * np.log(10.0)
             which = np.concatenate([x for p in places for x in (p, [len(sizes)])]).astype(np.int64)
-            mixed = np.logaddexp(by_word + np.log(lm_share), plain[which] + np.log(1 - lm_share)) / np.log(10.0)
             first = np.cumsum([0, *(len(p) + 1 for p in places[:-1])])
             n_known = np.add.reduceat((c[which] > 0).astype(np.int64), first)
-            out.append((np.array([len(p) + 1 for p in places]), n_known, np.add.reduceat(base[which], first), np.add.reduceat(mixed, first)))
+            out.append((np.array([len(p) + 1 for p in places]), n_known, np.add.reduceat(base[which], first), np.add.reduceat(each, np.cumsum(lengths) - lengths)))
             at = upto
         n, k, b, s = (np.concatenate(x) for x in zip(*out))
         return pa.Table.from_arrays(
@@ -303,11 +288,10 @@ def scored(documents: DataFrame, path: str) -> DataFrame:
             names=names,
         )
 
-    lm_share = SHARE
-    empty_words = rows.select("block", "place", "word", "c")
+    listed = rows.select(F.col("block").alias("of"), "place", "word", "c")
     return (
         texts.groupBy("block")
-        .cogroup(empty_words.groupBy("block"))
+        .cogroup(listed.groupBy("of"))
         .applyInArrow(
             run,
             "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
