@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import os
 import random
 import re
 import zlib
@@ -106,21 +107,24 @@ def test_lm_counts_and_base(spark, documents):
         assert np.isfinite(r.score) and r.score < 0
 
 
-def test_lm_score_beats_base_on_held_out_texts(spark, documents):
-    docs = documents.select("doc_id", "text", (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1).alias("held_out"))
-    got = [r for r in lm_score.scored(docs, public_tokenizers.path(lm_score.VOCABULARY)).collect() if r.held_out]
-    # the base score gives every unknown word one share, whatever its letters: it is no probability of those texts
-    got = [r for r in got if r.n_known == r.n_tokens and r.n_tokens > 1]
-    assert len(got) > 3 and sum(r.score for r in got) > sum(r.base_score for r in got)
+def test_lm_score_beats_base_on_held_out_texts(spark, sf):
+    """On the whole table of ten thousand documents: all held-out texts, and those without an unknown word."""
+    large = os.path.join(os.path.dirname(sf.rstrip("/")), "sf0.1")
+    if not os.path.isdir(large):
+        pytest.skip("needs the larger table")
+    got = [r for r in lm_score.op2_lm_score(spark, large).collect() if r.held_out]
+    known = [r for r in got if r.n_known == r.n_tokens]
+    assert len(got) > 1_500 and sum(r.score for r in got) > sum(r.base_score for r in got)
+    assert len(known) > 200 and sum(r.score for r in known) > sum(r.base_score for r in known)
 
 
 def test_lm_trains_on_every_training_text(spark, monkeypatch):
     given = []
-    monkeypatch.setattr(lm_score, "averaged", lambda windows, model, seed: given.append(windows.count()) or model)
+    monkeypatch.setattr(lm_score, "averaged", lambda windows, model, rate, step, seed: given.append(windows.count()) or model)
     docs = spark.range(3_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.col("id")).alias("text"))
     docs = docs.withColumn("held_out", F.col("doc_id") < 200)
     lm_score.scored(docs, public_tokenizers.path(lm_score.VOCABULARY))
-    assert given == [2_800] * lm_score.ROUNDS  # each of these texts is one window
+    assert sum(given) == 2_800 and len(given) == len(lm_score.ROUNDS) and min(given) > 0  # each of these texts is one window
 
 
 def test_lm_empty(empty):
@@ -204,7 +208,9 @@ def test_model_beats_shares_on_held_out_texts(monkeypatch, texts, span, stride):
     before = coding.inputs[np.concatenate([[coding.end], ids[:-1]])]
     before[np.cumsum(lengths) - lengths] = coding.inputs[coding.end]
     x, valid, scored, live = lm.gather(before, lm.windows(lengths))
-    lm.train(model, x, valid, coding.classes[ids][scored], live, epochs=2, rate=1e-2)
+    trainer = lm.Trainer(model, 2e-2, 32)
+    for _ in range(2):
+        trainer.learn(x, valid, coding.classes[ids][scored], live)
     shares = np.log10((counts + 0.5) / (counts + 0.5).sum())
     assert lm.token_scores(model, coding, ids2, lengths2).mean() > shares[ids2].mean()
 
@@ -296,8 +302,9 @@ def test_pack_brute_force(documents, texts, awkward, empty):
 
     path = public_tokenizers.path(best_fit.VOCABULARY)
     known = Tokenizer.from_file(path)
-    known.encode_special_tokens = True
     docs = documents.select("doc_id", "text").unionByName(awkward.filter("doc_id in (1, 2, 8, 9)").withColumn("doc_id", F.col("doc_id") + 10**6))
+    marked = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>b c", "<|endoftext"]
+    docs = docs.unionByName(docs.sparkSession.createDataFrame([(2 * 10**6 + i, t) for i, t in enumerate(marked)], SCHEMA))
     rows = best_fit.pack(docs, path, with_ids=True).collect()
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
@@ -316,6 +323,8 @@ def test_pack_brute_force(documents, texts, awkward, empty):
             at += r.length
         assert at <= 1024
     assert best_fit.pack(empty, path).count() == 0
+    clash = awkward.withColumn("length", F.lit("x")).withColumn("sequence_id", F.lit(1)).withColumn("task", F.lit(2))
+    assert best_fit.pack(clash, path).filter("piece = 0").count() == len(AWKWARD)  # repeated rows and null ids are packed each
 
 
 # --- near copies -----------------------------------------------------------------------------------------------------
@@ -469,7 +478,7 @@ def test_secrets_brute_force(spotted):
     found = {r.doc_id: r for r in got}
     for r in spotted.collect():
         assert found[r.doc_id].s == ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in secret_spans(r.text or ""))
-    assert [(s.start, s.end) for s in found[10**6 + 10].added] == [(4, 28)]
+    assert (4, 28) in [(s.start, s.end) for s in found[10**6 + 10].added]
 
 
 def test_copied_secrets_enter_the_sample_once(spark):
@@ -478,8 +487,9 @@ def test_copied_secrets_enter_the_sample_once(spark):
     ratios = []
     for copies in (1, 10):
         docs = spark.createDataFrame(plain + [(100 + i * copies + j, f"key {v} end") for i, v in enumerate(values) for j in range(copies)], SCHEMA)
-        scan = secret_scan.scanned(docs)
-        ratios.append(secret_scan.ratios(docs, scan, sample=3))
+        sample = secret_scan.samples(docs, 3)
+        assert sample.filter("random").count() == 3
+        ratios.append(secret_scan.ratios(sample))
     assert ratios[0] == ratios[1]
 
 
@@ -489,31 +499,45 @@ def test_private_brute_force(spotted):
     got = {r.doc_id: r for r in marked.select("doc_id", spans.joined(F.col("found"), private_data.KINDS, by).alias("s"), "terms").collect()}
     for r in spotted.collect():
         assert got[r.doc_id].s == ",".join(f"{private_data.KINDS[k]}:{a}:{b}" for k, a, b in private_spans(r.text or ""))
-    assert [t.value for t in got[3 * 10**6].terms] == ["Zorblax"]
-    assert not got[0].terms
+    assert all("Zorblax" in [t.value for t in got[2 * 10**6 + i].terms] for i in range(5))
+    assert not got[0].terms and not got[3 * 10**6].terms  # where no entity is, nothing is disclosed
     redacted = {r.doc_id: r.text for r in private_data.redact(spotted).collect()}
-    assert redacted[10**6] is None and redacted[3 * 10**6] == "[TERM] again"
+    assert redacted[10**6] is None and redacted[3 * 10**6] == "Zorblax again"
+    assert "[TERM]" in redacted[2 * 10**6] and "Zorblax" not in redacted[2 * 10**6] and "[EMAIL]" in redacted[2 * 10**6]
     assert redacted[10**6 + 8] == "😀 [EMAIL] é [PHONE]"
 
 
-def test_one_line_in_different_texts_discloses(spark):
+def test_terms_near_an_entity(spark):
+    """The same line in many texts, many copies of one text, and a common word beside an entity."""
     rng = random.Random(4)
-    made = lambda n: [" ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n))][0]
+    made = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n))
     line = "the office of Quuxley at quux@y.org answers all letters"
-    rows = [f"{made(60)} {line} {made(60)}" for _ in range(6)]  # one context, six texts
-    copied = made(120).split()
-    for i in range(6):  # near copies are one piece of evidence, though each differs around the address
-        rows.append(" ".join([*copied[:60], f"{made(1)} Blivetson blivet@z.org", made(1), *copied[60:]]))
-    rows += [made(80) for _ in range(40)] + ["Quuxley again", "Blivetson again"]
+    rows = [f"{made(60)} {line} {made(60)}" for _ in range(6)]
+    rows += [f"{made(9)} Blivetson blivet@z.org {made(9)}"] * 30
+    rows += [f"{made(20)} common {made(20)}" for _ in range(60)] + [f"{made(9)} common someone@w.org {made(9)} common"]
+    rows += [made(80) for _ in range(20)] + ["Quuxley again"]
     docs = spark.createDataFrame(list(enumerate(rows)), SCHEMA)
     got = {r.doc_id: [t.value for t in r.terms] for r in private_data.mark(docs).select("doc_id", "terms").collect()}
-    assert got[52] == ["Quuxley"] and got[53] == []
+    assert all("Quuxley" in got[i] for i in range(6)) and all("Blivetson" in got[i] for i in range(6, 36))
+    assert got[96] and "common" not in got[96]
+    assert not any(got[i] for i in range(36, 96)) and not any(got[i] for i in range(97, 118))
 
 
 def test_context_crosses_neighbouring_values(spark):
-    docs = spark.createDataFrame([(1, "Mail of Bolt: a@x.org, b@x.org of Acme")], SCHEMA)
-    got = docs.select(F.explode(private_data.surrounded(F.col("text"))).alias("x")).select("x.*").collect()
-    assert {r.entity: sorted(r.near) for r in got} == {"0:a@x.org": ["acme", "bolt", "mail"], "0:b@x.org": ["acme", "bolt", "mail"]}
+    text = "Mail of Bolt: a@x.org, b@x.org of Acme"
+    got = [r.near for r in spark.createDataFrame([(1, text)], SCHEMA).select(F.explode(private_data.surrounded(F.col("text"), "k")).alias("x")).select("x.*").collect()]
+    words = spark.createDataFrame([(w,) for w in ("mail", "bolt", "acme")], "w string").select(F.xxhash64(F.lit("k"), "w").alias("h"))
+    want = sorted(r.h for r in words.collect())
+    assert [sorted(near) for near in got] == [want, want]
+
+
+def test_spans_on_awkward_rows(spark, awkward):
+    """Nulls, empty and repeated rows, no id; extra columns with the results' names."""
+    clash = awkward.withColumn("found", F.lit(1)).withColumn("terms", F.lit("x")).withColumn("added", F.lit(2))
+    rows = private_data.mark(clash).select("doc_id", "added", F.size("found").alias("n"), F.size("terms").alias("m")).collect()
+    assert len(rows) == len(AWKWARD) and all(r.added == 2 and r.n == 0 and r.m == 0 for r in rows)
+    rows = secret_scan.secrets(clash).collect()
+    assert len(rows) == len(AWKWARD) and all(not r.found for r in rows)
 
 
 def test_spans_in_linear_time(spark):
@@ -629,13 +653,24 @@ def test_pipeline(spark, sf, documents):
 
 
 def test_pipeline_stages_on_awkward_rows(spark, sf):
+    """Each stage on nulls in any column, empty, short, long and repeated rows, and on none; columns that clash stay."""
     import corpus_pipeline
 
-    rows = [(i, t, None if i == 4 else "en", None, None) for i, t in AWKWARD]
-    for data in (rows, []):
-        docs = spark.createDataFrame(data, FULL).withColumn("extra", F.lit(1)).drop("extra")
-        for _, stage in corpus_pipeline.STAGES:
-            assert stage(spark, docs, sf).count() >= 0
+    prose = "the other day we went down to the river and saw that the water was high enough for boats to pass under it "
+    rows = [(i, t, None if i == 4 else "en", None, None) for i, t in AWKWARD] + [(20, prose * 2, None, None, None), (21, prose * 2, "en", "s", 5), (None, prose + "again", "en", "s", 5)]
+    want = {  # doc_ids that each stage keeps of these rows
+        "quality rules": lambda kept: 9 not in kept and 1 not in kept and 5 not in kept,
+        "language": lambda kept: 1 not in kept and 2 not in kept and 3 not in kept and 20 in kept,
+        "near duplicates": lambda kept: kept[5] == 1 and kept[6] == 0 and kept[20] == 1 and kept[21] == 0 and kept[1] + kept[2] + kept[3] == 1 and kept[None] == 2,
+        "personal data": lambda kept: sum(kept.values()) == len(rows),
+        "packing": lambda kept: set(kept) == {r[0] for r in rows},
+    }
+    docs = spark.createDataFrame(rows, FULL).withColumn("found", F.lit(1)).withColumn("score", F.lit("x")).withColumn("fp", F.lit(2.0))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, sf)
+        assert name == "packing" or got.columns == docs.columns
+        assert want[name](collections.Counter(r.doc_id for r in got.collect())), name
+        assert stage(spark, docs.limit(0), sf).count() == 0
 
 
 def test_registered_queries():
