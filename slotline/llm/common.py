@@ -32,7 +32,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table_ = spark.read.schema(df.schema).parquet(path)
+    table_.scratch = path
+    return table_
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing reads any more. What a returned result still reads stays in the shared
+    folder, which is the cluster's to clean."""
+    for table_ in tables:
+        jvm = table_.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table_.scratch)
+        path.getFileSystem(table_.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _MACHINE: dict = {}

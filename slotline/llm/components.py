@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotline.llm.common import written
+from slotline.llm.common import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def components(links: DataFrame) -> DataFrame:
     links = links.filter(F.col("a") != F.col("b")).select("a", "b")
     both = written(links.union(links.select("b", "a")).toDF("a", "b").distinct(), "links")
     labels = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("l"))
-    labels = written(labels.select("v", F.least("v", "l").alias("l")), "labels")
+    labels = held = written(labels.select("v", F.least("v", "l").alias("l")), "labels")
     while True:
         near = both.join(labels, both.b == labels.v).groupBy("a").agg(F.min("l").alias("n"))
         least = labels.join(near, labels.v == near.a).select("v", F.col("l").alias("o"), F.least("l", "n").alias("l"))
@@ -25,6 +25,8 @@ def components(links: DataFrame) -> DataFrame:
         step = written(
             least.join(parent, least.l == parent.p, "left").select("v", "o", F.least("l", "q").alias("l")), "labels"
         )
-        labels = step.select("v", "l")
+        discard(held)
+        labels, held = step.select("v", "l"), step
         if step.filter(F.col("o") != F.col("l")).isEmpty():
+            discard(both)
             return labels.withColumnRenamed("l", "component")

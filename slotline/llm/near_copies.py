@@ -10,10 +10,13 @@ before the whole distance is counted. No link is lost.
 Groups. Equal fingerprints are one vertex. Vertices that share a chain are first linked to four pivots of that chain
 where they are near enough, which joins dense groups with few links. The lookup then asks only for links between
 different groups; in a chain that holds more than ``LARGE`` vertices, members of its largest group are not compared
-with each other. So pairs within a group are never listed, and no bucket is held by one task.
+with each other. So pairs within a group are never listed. Joins on a chain or a group have plain tables on both sides, so
+that Spark splits those that are large.
 
-Null and empty texts have fingerprint zero, linked like any other. Texts shorter than a shingle are one shingle.
-Repeated rows share a component. Extra columns are not read.
+Null and empty texts have fingerprint zero, linked like any other. Texts shorter than a shingle are one shingle; those of
+any length are read whole. Repeated rows share a component. A row without an id is in its group, whose name is the
+smallest id there is in it (null where there is none). An empty table gives an empty result. Columns other than doc_id
+and text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotline.llm.common import extended, table, written
+from slotline.llm.common import extended, release, table, written
 from slotline.llm.components import components
 
 BITS, SEED = 64, 42
@@ -57,6 +60,7 @@ def fingerprinted(documents: DataFrame, k: int, text: str = "text") -> DataFrame
     place = documents.columns.index(text)
 
     def run(batches):
+        release()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -134,7 +138,9 @@ def pairs_with_pivots(fps: DataFrame, ring: Ring) -> DataFrame:
         F.min_by("fp", F.xxhash64("fp")).alias("p3"),
         F.max_by("fp", F.xxhash64("fp")).alias("p4"),
     )
-    shared = rows.join(pivots.filter(F.col("n") > 1), ["start", "bits"])
+    # written, so that the join below has no aggregation in it and Spark can split a chain that very many share
+    pivots = written(pivots.filter(F.col("n") > 1), "pivots")
+    shared = rows.join(pivots, ["start", "bits"])
     linked = shared.select(F.col("fp").alias("a"), F.explode(F.array("p1", "p2", "p3", "p4")).alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= ring.distance
     return linked.filter((F.col("a") != F.col("b")) & near).distinct()
@@ -175,10 +181,16 @@ def pairs_between(fps: DataFrame, ring: Ring) -> DataFrame:
     return found.select(F.least("gx", "gy").alias("a"), F.greatest("gx", "gy").alias("b")).distinct()
 
 
-def grouped(fps: DataFrame, distance: int, chain: int) -> DataFrame:
+def chain_for(n: int) -> int:
+    """Segments looked up together: longer keys, with more error patterns, for more fingerprints, so that a key is shared
+    by chance by few. No link is lost with any."""
+    return 2 if n <= 1 << 26 else 3
+
+
+def grouped(fps: DataFrame, distance: int, chain: int | None) -> DataFrame:
     """(fp, grp) for distinct fingerprints: the same group exactly if links lead from one to the other."""
-    ring = Ring(distance, chain)
     fps = written(fps.select("fp").distinct(), "fps")
+    ring = Ring(distance, chain or chain_for(fps.count()))
     first = components(pairs_with_pivots(fps, ring))
     one = fps.join(first, fps.fp == first.v, "left").select("fp", F.coalesce("component", "fp").alias("grp"))
     one = written(one, "groups")
@@ -186,14 +198,15 @@ def grouped(fps: DataFrame, distance: int, chain: int) -> DataFrame:
     return one.join(more, one.grp == more.v, "left").select("fp", F.coalesce("component", "grp").alias("grp"))
 
 
-def classes(small: DataFrame, distance: int, chain: int) -> DataFrame:
+def classes(small: DataFrame, distance: int, chain: int | None) -> DataFrame:
     """(fp, component_id) of rows (doc_id, fp); copies have met in one row before groups are joined."""
     least = small.groupBy("fp").agg(F.min("doc_id").alias("least")).join(grouped(small, distance, chain), "fp")
-    named = least.groupBy("grp").agg(F.min("least").alias("component_id"))
+    # written, so that Spark can split the join where one group has very many fingerprints
+    named = written(least.groupBy("grp").agg(F.min("least").alias("component_id")), "named")
     return least.join(named, "grp").select("fp", "component_id")
 
 
-def linked(documents: DataFrame, k: int = 5, distance: int = 7, chain: int = 2) -> DataFrame:
+def linked(documents: DataFrame, k: int = 5, distance: int = 7, chain: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every input row: its group's smallest doc_id."""
     small = written(fingerprinted(documents.select("doc_id", "text"), k).select("doc_id", "fp"), "fingerprints")
     return small.join(classes(small, distance, chain), "fp")
