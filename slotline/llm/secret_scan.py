@@ -3,8 +3,8 @@
 Method. Two first-order Markov models over the characters of ``ALPHABET`` (anything else is one further character)
 are trained from labelled samples. The fixed patterns label: the values that they match are random strings, the runs of
 such characters in documents where they match nothing are ordinary identifiers (words, numbers). Both samples hold
-distinct values, the random ones at most ``SAMPLE`` and the ordinary ones from at most ``SAMPLE`` documents; every count
-has one added. A quarter of each, told by a hash, is not trained on: the threshold of the mean log-likelihood ratio of a
+distinct values, the random ones at most ``SAMPLE`` and the ordinary ones from at most ``SAMPLE`` documents, each also in
+capitals, as both are written in either case; every count has one added. A quarter of each, told by a hash, is not trained on: the threshold of the mean log-likelihood ratio of a
 value's steps lies a quarter of the way from the high end of the held-out ordinary runs (one in a thousand is above) to
 the low end of the held-out secrets (all but 5 % are above), or at the former if they overlap: other kinds of random
 string than the patterns know are less unlike words than those are. Then every run of ``LEAST`` or
@@ -67,7 +67,8 @@ def samples(documents: DataFrame, sample: int) -> DataFrame:
     runs = F.filter(F.split("text", f"[^{CHARACTERS}]+"), lambda w: F.length(w) >= 6)
     ordinary = plain.join(chosen, "doc_id", "left_semi").select(F.explode(runs).alias("w")).distinct()
     both = secrets.withColumn("random", F.lit(True)).unionByName(ordinary.withColumn("random", F.lit(False)))
-    return both.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "w"), F.lit(HELD_OUT)) == 0)
+    both = both.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "w"), F.lit(HELD_OUT)) == 0)
+    return both.withColumn("w", F.explode(F.array_distinct(F.array("w", F.upper("w")))))
 
 
 def ratios(labelled: DataFrame) -> list[float]:
