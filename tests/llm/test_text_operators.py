@@ -665,7 +665,7 @@ def test_pipeline_stages_on_awkward_rows(spark, sf):
         "personal data": lambda kept: sum(kept.values()) == len(rows),
         "packing": lambda kept: set(kept) == {r[0] for r in rows},
     }
-    docs = spark.createDataFrame(rows, FULL).withColumn("found", F.lit(1)).withColumn("score", F.lit("x")).withColumn("fp", F.lit(2.0))
+    docs = spark.createDataFrame(rows, FULL).withColumn("found", F.lit(1)).withColumn("n_words", F.lit("x")).withColumn("component_id", F.lit(2.0))
     for name, stage in corpus_pipeline.STAGES:
         got = stage(spark, docs, sf)
         assert name == "packing" or got.columns == docs.columns
