@@ -92,6 +92,12 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
+def numbered(df: DataFrame, own: Sequence[str]) -> DataFrame:
+    """``df`` with its columns other than ``own`` named by their places: names of any kind pass an Arrow map so, and
+    ``toDF`` gives them back."""
+    return df.toDF(*[c if c in own else f"_{i}" for i, c in enumerate(df.columns)])
+
+
 def sampled_labels(spark: SparkSession, sf_dir: str, limit: int, keep: Column | None = None) -> DataFrame:
     """At most ``limit`` labelled rows, those with the smallest id hash: (doc_id, quality, toxic), one per doc_id."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")

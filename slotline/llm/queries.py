@@ -1,10 +1,15 @@
-"""The registered queries of the text operators. None has SQL: each needs a tokenizer, a trained model or XXH64."""
+"""The registered queries of the text operators. Those without SQL need a tokenizer, a trained model or XXH64."""
 
 from __future__ import annotations
 
 from slotline.llm.best_fit import op4_best_fit
 from slotline.llm.byte_bpe import op1_byte_bpe
+from slotline.llm.collocations import SQL as COLLOCATIONS
+from slotline.llm.collocations import op12_collocations
+from slotline.llm.fill_middle import SQL as FILL_MIDDLE
+from slotline.llm.fill_middle import op11_fill_middle
 from slotline.llm.language_crf import op7_language_crf
+from slotline.llm.licence_scan import op13_licence_scan
 from slotline.llm.lm_score import op2_lm_score
 from slotline.llm.near_copies import op6_simhash
 from slotline.llm.order_minhash import op10_order_minhash
@@ -26,6 +31,9 @@ QUERIES = {
         op8_secret_scan,
         op9_private_data,
         op10_order_minhash,
+        op11_fill_middle,
+        op12_collocations,
+        op13_licence_scan,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_fill_middle": FILL_MIDDLE, "op12_collocations": COLLOCATIONS}

@@ -676,4 +676,4 @@ def test_pipeline_stages_on_awkward_rows(spark, sf):
 def test_registered_queries():
     from slotline.llm.queries import QUERIES
 
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
