@@ -19,6 +19,20 @@ def capture_scan(listing: DataFrame, prefix: str, min_bytes: int = slots.MIN_BYT
     )
 
 
+def scan_landed(landed: DataFrame, prefix: str, min_bytes: int = slots.MIN_BYTES) -> DataFrame:
+    """``capture_scan`` of captures landed by camera and day: the period is a range of the partition column between
+    literals, so files of other days are neither listed nor read."""
+    first = prefix[:10]
+    near = landed.filter(F.col("day").between(F.lit(first), F.lit(first + "~")))  # no day goes on with a character after ~
+    return near.filter(F.col("name").startswith(prefix) & (F.col("bytes") >= min_bytes) & slots.is_name(F.col("name")))
+
+
+def scan_keys(landed: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """Captures of the partitions that ``wanted`` lists. Where that list is small enough to be broadcast, Spark reads it
+    first and then only the partitions in it."""
+    return landed.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
+
+
 def quarantine(listing: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows named as captures, and strays. A small capture is no stray."""
     named = slots.is_name(F.col("name"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slotline.operators.ranks import ranked, ranked_within
+from slotline.operators.ranks import before_within, ranked, ranked_within
+from slotline.sources.files import settled
 
 OBSERVATION = T.StructType(
     [
@@ -117,10 +118,14 @@ def rolling_probe(probes: DataFrame, keep: int = 10, timeout: float = 5.0) -> Da
     return seen.filter("_own").drop("_own")
 
 
-def counter_increase(readings: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """Readings at which a counter rose, and by how much; a reset counts as no rise."""
-    before = F.lag(value).over(W.partitionBy(key).orderBy(*order))
-    return readings.withColumn("rise", F.greatest(F.col(value) - before, F.lit(0))).filter(F.col("rise") > 0)
+def counter_increase(readings: DataFrame, key: str, order: list[str], value: str, block: Column | None = None) -> DataFrame:
+    """Readings at which a counter rose, and by how much; a reset counts as no rise.
+
+    A key's readings are dealt in blocks (by default, days of the first of ``order``), and the last reading of a block is
+    handed on to the next one that has any.
+    """
+    seen = before_within(readings, [key], _by_day(order[0]) if block is None else block, order, value, "_was")
+    return seen.withColumn("rise", F.greatest(F.col(value) - F.col("_was"), F.lit(0))).drop("_was").filter(F.col("rise") > 0)
 
 
 def burst_classify(events: DataFrame, key: str, window_seconds: int, throttle: int, reject: int) -> DataFrame:
@@ -141,6 +146,7 @@ def burst_classify(events: DataFrame, key: str, window_seconds: int, throttle: i
 def failure_context(log: DataFrame, n: int = 1000) -> DataFrame:
     """For each failure, the n records of its unit before it: (unit, failure, record, back)."""
     numbered = ranked_within(log, "unit", _by_day("ts"), ["ts", "event_id"], "rn").select("unit", "event_id", "failed", "rn")
+    numbered = settled(numbered, "numbered")  # read twice, as failures and as records
     # a record's block of n ranks, and the one after it, hold every failure that may want it: an equality on the block
     block = F.floor(F.col("rn") / n)
     failures = numbered.filter("failed").select(

@@ -3,24 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from slotline.operators.ranks import ranked
+from slotline.operators.ranks import among_newest, ranked
 
 
 def keep_last_n(items: DataFrame, n: int, keys: list[str], order: list[str]) -> DataFrame:
-    """Every item with keep: whether it is among the newest n of its keys."""
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order]))
-    return items.withColumn("keep", rank <= n)
+    """Every item with keep: whether it is among the newest n of its keys. ``order`` must tell a key's items apart."""
+    return among_newest(items, n, keys, order, "keep")
 
 
 def keep_within_or_last(items: DataFrame, as_of: str, within_days: int = 28, last: int = 3, pattern: str = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}_[0-9:]{8}$") -> DataFrame:
     """Well-formed items with keep: no older than ``within_days``, or among the newest ``last`` of their subject."""
     named = items.filter(F.col("name").rlike(pattern))
-    rank = F.row_number().over(W.partitionBy("subject").orderBy(F.col("created").desc(), F.col("event_id").desc()))
     fresh = F.col("created") >= F.lit(as_of).cast("timestamp_ntz") - F.expr(f"interval {within_days} days")
-    return named.withColumn("fresh", fresh).withColumn("keep", fresh | (rank <= last))
+    marked = among_newest(named, last, ["subject"], ["created", "event_id"], "among")
+    return marked.withColumn("fresh", fresh).withColumn("keep", F.col("fresh") | F.col("among")).drop("among")
 
 
 def class_retention(items: DataFrame, ages: dict[str, int], as_of: str) -> DataFrame:

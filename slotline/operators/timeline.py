@@ -10,18 +10,24 @@ from slotline.functions import slots
 from slotline.operators.ranks import ranked_within
 
 
-def slot_spine(valid: DataFrame, days: int, keep_last: bool = False) -> DataFrame:
-    """Every camera's slots of the period, with the earliest capture where there is one (and the last, if asked)."""
+def _calendar(valid: DataFrame, first: int, last: int) -> DataFrame:
+    """(camera, d) of every camera and day from first to last."""
+    return valid.select("camera").distinct().select("camera", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("d"))
+
+
+def slot_spine(valid: DataFrame, days: int, keep_last: bool = False, start: int = 0) -> DataFrame:
+    """Every camera's slots of ``days`` days from day ``start`` on, with the earliest capture where there is one (and the
+    last, if asked)."""
     last = [F.max("name").alias("hi")] if keep_last else []
-    filled = valid.groupBy("camera", "g").agg(F.min("name").alias("name"), *last)
-    every = valid.select("camera").distinct().select("camera", F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("d"))
-    every = every.select(
+    within = valid if not start else valid.filter(F.col("g") >= start * slots.SLOTS_PER_DAY)
+    filled = within.groupBy("camera", "g").agg(F.min("name").alias("name"), *last)
+    every = _calendar(valid, start, start + days - 1).select(
         "camera", F.explode(F.sequence(F.col("d") * slots.SLOTS_PER_DAY, (F.col("d") + 1) * slots.SLOTS_PER_DAY - 1)).alias("g")
     )
     return every.join(filled, ["camera", "g"], "left")
 
 
-def asof_seed(valid: DataFrame, days: int) -> DataFrame:
+def asof_seed(valid: DataFrame, days: int, start: int = 0) -> DataFrame:
     """For each camera and day of the period: the newest capture strictly before the day, and its slot.
 
     One row per camera and day reaches the window, so its size is that of the calendar, not of the captures.
@@ -29,22 +35,23 @@ def asof_seed(valid: DataFrame, days: int) -> DataFrame:
     per_day = valid.withColumn("d", F.floor(F.col("g") / slots.SLOTS_PER_DAY).cast("int")).groupBy("camera", "d").agg(
         F.max(F.struct("name", "g")).alias("last")
     )
-    every = valid.select("camera").distinct().select("camera", F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("d"))
     before = W.partitionBy("camera").orderBy("d").rowsBetween(W.unboundedPreceding, -1)
-    seeded = every.join(per_day, ["camera", "d"], "left").withColumn("seed", F.last("last", ignorenulls=True).over(before))
+    every = _calendar(valid, 0, start + days - 1).join(per_day, ["camera", "d"], "left")
+    seeded = every.withColumn("seed", F.last("last", ignorenulls=True).over(before)).filter(F.col("d") >= start)
     return seeded.select("camera", "d", F.col("seed.name").alias("seed"), F.col("seed.g").alias("seed_g"))
 
 
-def slot_manifest(valid: DataFrame, days: int, hold: int = slots.HOLD) -> DataFrame:
-    """P (photo), H (held) or M (missing) for every slot, with the name of the last photo.
+def slot_manifest(valid: DataFrame, days: int, hold: int = slots.HOLD, start: int = 0) -> DataFrame:
+    """P (photo), H (held) or M (missing) for every slot of ``days`` days from day ``start`` on, with the name of the last
+    photo; what is held when the first of them begins comes from the days before.
 
     Two levels, so that work spreads over camera and day: within a day the earliest capture of its slot is carried
     on, and what a day begins with is the last capture of the populated day before it.
     """
-    spine = slot_spine(valid, days).withColumn("d", F.floor(F.col("g") / slots.SLOTS_PER_DAY).cast("int"))
+    spine = slot_spine(valid, days, start=start).withColumn("d", F.floor(F.col("g") / slots.SLOTS_PER_DAY).cast("int"))
     within = W.partitionBy("camera", "d").orderBy("g").rowsBetween(W.unboundedPreceding, W.currentRow)
     own = F.last(F.when(F.col("name").isNotNull(), F.struct("name", "g")), ignorenulls=True).over(within)
-    carried = spine.withColumn("own", own).join(asof_seed(valid, days), ["camera", "d"])
+    carried = spine.withColumn("own", own).join(asof_seed(valid, days, start), ["camera", "d"])
     src = F.coalesce("own.name", "seed")
     age = F.col("g") - F.coalesce("own.g", "seed_g")
     state = F.when(F.col("name").isNotNull(), "P").when(age <= hold, "H").otherwise("M")

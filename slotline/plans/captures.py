@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from slotline.functions import slots
@@ -39,7 +37,7 @@ def capture_scan(spark, d):
 @query("capture_sink", with_views("valid", "SELECT camera, day_dir AS day, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM valid GROUP BY ALL"))
 def capture_sink(spark, d):
     # a folder of its own for each call: partitions of another table's run are not counted
-    back = files.land_captures(_valid(spark, d), f"{files.shared_folder(spark)}/captures-{uuid.uuid4().hex}")
+    back = files.land_captures(_valid(spark, d), files.scratch(spark, "captures"))
     return back.groupBy("camera", F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 

@@ -42,4 +42,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from slotline.plans import captures, metrics, retention, streams, timelines, web  # noqa: E402, F401
+from slotline.plans import captures, joins, metrics, publishing, retention, streams, timelines, web  # noqa: E402, F401

@@ -45,16 +45,21 @@ def stream_late_handling(spark, d):
     return jobs.late_days(_captures(spark, d), used, views.finalized(views.captures(spark, d)))
 
 
+def _outages(spark, d):
+    with jobs.timed_state(spark):
+        return jobs.drained(jobs.outages(_captures(spark, d).filter("host = 'a'")))
+
+
 @query("stream_outage", with_views("runs valid", "SELECT camera, first, last, 'closed' AS kind FROM runs r WHERE src IS NOT NULL AND last < (SELECT max(g) FROM valid v WHERE v.camera = r.camera AND host = 'a')"))
 def stream_outage(spark, d):
-    return jobs.drained(jobs.outages(_captures(spark, d).filter("host = 'a'"))).filter("kind = 'closed'")
+    return _outages(spark, d).filter("kind = 'closed'")
 
 
 @query("stream_open_outage", with_views("valid", """SELECT camera, max(g) + 7 AS first, CAST(NULL AS BIGINT) AS last, 'open' AS kind FROM valid WHERE host = 'a' GROUP BY camera
     HAVING (max(g) + 7) * 5 < (SELECT max(g) FROM valid WHERE host = 'a') * 5 - 10"""))
 def stream_open_outage(spark, d):
     """Cameras that are still missing when the watermark has passed their first missing slot."""
-    return jobs.drained(jobs.outages(_captures(spark, d).filter("host = 'a'"))).filter("kind = 'open'")
+    return _outages(spark, d).filter("kind = 'open'")
 
 
 @query("stream_sessions", with_views("valid", """, own AS (SELECT camera, g FROM valid WHERE host = 'a'), marked AS (SELECT camera, g, CASE WHEN g - lag(g) OVER w <= 7 THEN 0 ELSE 1 END AS begins FROM own WINDOW w AS (PARTITION BY camera ORDER BY g)),
@@ -82,4 +87,4 @@ def stream_dedup(spark, d):
 def stream_failure_alert(spark, d):
     e = jobs.event_stream(spark, d)
     log = e.select(F.col("user_id").alias("unit"), (F.col("event_type") == "error").alias("failed"), "event_id", "ts")
-    return jobs.failure_alerts(log, views.log(spark, d), 5)
+    return jobs.failure_alerts(log, 5)

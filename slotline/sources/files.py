@@ -6,8 +6,11 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slotline.functions import slots
 
@@ -25,18 +28,49 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in a folder of this application's in the shared one. That folder is deleted when the driver ends in
+    good order; what a crash leaves is the cluster's to clean."""
+    root = f"{shared_folder(spark)}/scratch-{spark.sparkContext.applicationId}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def settled(frame: DataFrame, name: str) -> DataFrame:
     """``frame`` written once to the shared folder and read back: for plans that must not be run twice with
-    different outcomes, as where ranges are cut from a sample."""
+    different outcomes, as where ranges are cut from a sample, and for what several readers take."""
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def scan_captures(spark: SparkSession, root: str, host: str) -> DataFrame:
-    """A capture tree <root>/<camera>/<day>/<name> as a listing: only paths and sizes are read, never contents."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jp*g").load(root)
+def settled_at(frame: DataFrame, path: str) -> DataFrame:
+    """``frame`` written to ``path`` unless a run before has done so, and read back: for what must stay as it was when a
+    job began, however often the job begins again."""
+    spark = frame.sparkSession
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        frame.write.mode("overwrite").parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def scan_captures(spark: SparkSession, root: str, host: str, prefix: str = "") -> DataFrame:
+    """A capture tree <root>/<camera>/<day>/<name> as a listing: only paths and sizes are read, never contents.
+
+    ``prefix``: of the days to look at. Folders of other days are not listed. No such day is no error.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jp*g")
+    try:
+        found = found.load(f"{root}/*/{prefix}*" if prefix else root)
+    except AnalysisException as error:
+        if not prefix or error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LISTING)
     part = F.split("path", "/")
     return found.select(
         F.lit(host).alias("host"),
@@ -47,6 +81,34 @@ def scan_captures(spark: SparkSession, root: str, host: str) -> DataFrame:
     )
 
 
+LISTING = "host string, camera string, day_dir string, name string, bytes long"
+
+
+def write_tree(captures: DataFrame, root: str) -> int:
+    """Files <root>/<camera>/<day_dir>/<name> of ``bytes`` bytes, written by tasks; how many.
+
+    A file is written under another name and then renamed, so a task that runs again, or a second one with the same
+    capture, leaves the same tree. ``root`` must be in a store that Arrow's file systems know.
+    """
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for camera, day, name, size in zip(*(c.to_pylist() for c in batch.columns)):
+                folder = f"{base}/{camera}/{day}"
+                store.create_dir(folder, recursive=True)
+                draft = f"{folder}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(draft) as out:
+                    out.write(bytes(size))
+                store.move(draft, f"{folder}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    counted = captures.select("camera", "day_dir", "name", "bytes").mapInArrow(run, "n long")
+    return counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def land_captures(frame: DataFrame, path: str) -> DataFrame:
     """Captures as camera and day partitions; partitions that are written again are replaced, others stay.
 
@@ -58,6 +120,13 @@ def land_captures(frame: DataFrame, path: str) -> DataFrame:
     return frame.sparkSession.read.parquet(path)
 
 
+def landed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Captures that ``land_captures`` has written, ``day`` as text, so that a period is a range of it. ``schema``: that of
+    the captures."""
+    rest = [f for f in schema.fields if f.name not in ("camera", "day")]
+    return spark.read.schema(T.StructType(rest).add("camera", "string").add("day", "string")).parquet(path)
+
+
 def parse_listing(lines: DataFrame, min_bytes: int = slots.MIN_BYTES) -> DataFrame:
     """A long listing (perms size date time path) as entries; folders and small files go."""
     part = F.split("value", r"\s+")
