@@ -162,26 +162,29 @@ def test_small_blocks_and_tries_give_the_same(spark, monkeypatch):
     made = hat_trie.HatTrie
     monkeypatch.setattr(collocations, "BLOCK_BYTES", 50)
     monkeypatch.setattr(collocations, "CHUNK", 37)
-    monkeypatch.setattr(collocations, "HatTrie", lambda width: made(width, budget=20, burst=3))
+    monkeypatch.setattr(collocations, "HOT", 10)
+    monkeypatch.setattr(collocations, "PACKED", 5)
+    monkeypatch.setattr(collocations, "HatTrie", lambda width, kind: made(width, "u8", budget=20, burst=3))
     assert as_rows(collocations.mined(frame, 4)) == want and len(want) > 20
 
 
-def test_trie_counts_paths():
+@pytest.mark.parametrize("kind", ["u4", "u8"])
+def test_trie_counts_paths(kind):
     rng = np.random.default_rng(1)
     want, got, runs = collections.Counter(), collections.Counter(), 0
-    trie = hat_trie.HatTrie(4, budget=300, burst=5)
+    trie = hat_trie.HatTrie(4, kind, budget=300, burst=5)
     for _ in range(60):
         paths = rng.integers(1, 5, (40, 4)) * (np.arange(4) < rng.integers(1, 5, (40, 1)))
         paths, counts = np.unique(paths, axis=0, return_counts=True)
         want.update(dict(zip(map(tuple, paths.tolist()), counts.tolist())))
-        for part, n in [*trie.add(paths, counts)]:
+        for first, rests, n in [*trie.add(paths, counts)]:
             runs += 1
-            assert part.tolist() == sorted(part.tolist())
-            for path, c in zip(map(tuple, part.tolist()), n.tolist()):
-                got[path] += c
-    for part, n in trie.spill():
-        for path, c in zip(map(tuple, part.tolist()), n.tolist()):
-            got[path] += c
+            assert rests.tolist() == sorted(rests.tolist())
+            for path, c in zip(rests.tolist(), n.tolist()):
+                got[first, *path] += c
+    for first, rests, n in trie.spill():
+        for path, c in zip(rests.tolist(), n.tolist()):
+            got[first, *path] += c
     assert got == want and not trie.entries and not trie.root and runs
 
 
@@ -194,24 +197,17 @@ def test_trie_within_its_budget():
         assert trie.entries <= 100
 
 
-def test_merging_across_batches():
+def test_beginnings_of_summed_runs():
     rng = np.random.default_rng(2)
     paths = rng.integers(1, 3, (400, 5)) * (np.arange(5) < rng.integers(3, 6, (400, 1)))
-    paths = paths[np.lexsort(paths.T[::-1])]
     counts = rng.integers(1, 4, 400)
     want = collections.Counter()
     for p, c in zip(paths.tolist(), counts.tolist()):
         for k in range(3, 6):
             if p[k - 1]:
                 want[tuple(p[:k])] += c
-    for size in (1, 7, 400):
-        merger, got = hat_trie.Merger(range(3, 6), 10), []
-        for at in range(0, 400, size):
-            for own, n in merger.take(paths[at : at + size], counts[at : at + size]):
-                got += zip(map(tuple, own.tolist()), n.tolist())
-        for own, n in merger.close():
-            got += zip(map(tuple, own.tolist()), n.tolist())
-        assert dict(got) == {k: c for k, c in want.items() if c >= 10} and len(got) == len(dict(got))
+    got = [x for own, n in hat_trie.beginnings(*hat_trie.summed(paths, counts), range(3, 6), 10) for x in zip(map(tuple, own.tolist()), n.tolist())]
+    assert dict(got) == {k: c for k, c in want.items() if c >= 10} and len(got) == len(dict(got))
 
 
 def test_products_beyond_64_bits(spark):
