@@ -117,9 +117,8 @@ class Model:
         flat = e.reshape(-1, WIDTH)
         q = (np.ascontiguousarray(eq).reshape(-1, WIDTH) @ p["query"]).reshape(-1, STRIDE, WIDTH)
         k, v = (flat @ p["key"]).reshape(e.shape), (flat @ p["value"]).reshape(e.shape)
-        near = np.where(self.BACK >= 0, p["near"][np.maximum(self.BACK, 0)], np.float32(-1e9))
         a = (q * np.float32(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
-        a += near
+        a += self._near()
         if not valid.all():
             a += np.where(valid, np.float32(0), np.float32(-1e9))[:, None, :]
         np.clip(a, -60, 60, out=a)  # far from what weights reach, so that no maximum need be taken off
@@ -131,6 +130,32 @@ class Model:
         np.maximum(h, 0, out=h)
         return e, q, k, v, a, z, h
 
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What each input row brings to a window: query, key, value as it is mixed in, and its own part of the mix. Positions
+        enter through ``near`` alone, so these depend on the row only."""
+        p = self.p
+        e = p["embed"]
+        return (e @ p["query"]) * np.float32(WIDTH**-0.5), e @ p["key"], e @ (p["value"] @ p["mix"][WIDTH:]), e @ p["mix"][:WIDTH] + p["mix0"]
+
+    def scored(self, tables, x: np.ndarray, valid: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """``log_class`` from ``tables``: gathers in place of projections."""
+        q, k, v, own = tables
+        at = x[:, SPAN - STRIDE :]
+        a = q[at] @ k[x].transpose(0, 2, 1)
+        a += self._near()
+        if not valid.all():
+            a += np.where(valid, np.float32(0), np.float32(-1e9))[:, None, :]
+        np.clip(a, -60, 60, out=a)
+        np.exp(a, out=a)
+        a /= (a @ np.ones(SPAN, dtype=np.float32))[:, :, None]
+        h = a @ v[x]
+        h += own[at]
+        np.maximum(h, 0, out=h)
+        return self.outputs(h.reshape(-1, HIDDEN), target.ravel())[-1].reshape(target.shape)
+
+    def _near(self) -> np.ndarray:
+        return np.where(self.BACK >= 0, self.p["near"][np.maximum(self.BACK, 0)], np.float32(-1e9))
+
     def outputs(self, h: np.ndarray, target: np.ndarray):
         """Exponentials of the groups' logits and, rows sorted by the target's group, of that group's members'; the
         row order and each group's bounds in it; log probabilities of the targets."""
@@ -248,10 +273,10 @@ def token_scores(model: Model, coding: Coding, ids: np.ndarray, lengths: np.ndar
     before[1:] = coding.inputs[ids[:-1]]
     before[np.cumsum(lengths) - lengths] = coding.inputs[coding.end]
     found = coding.within[ids]
-    spans = windows(lengths)
+    spans, tables = windows(lengths), model.tables()
     for at in range(0, len(spans), BATCH):
         x, valid, scored, live = gather(before, spans[at : at + BATCH])
-        got = model.log_class(x, valid, target[scored])
+        got = model.scored(tables, x, valid, target[scored])
         found[scored[live]] += got[live] / np.log(10.0)
     return found
 

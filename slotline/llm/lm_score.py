@@ -4,7 +4,9 @@ Method. Words (ASCII lower case) become subword ids of a public vocabulary; a ca
 (``attention_lm``) scores every id once in overlapping windows, and a text's score is the sum over its ids. All counts
 (words, ids, tails of classes) cover every training text, and the attention weights learn from every window of every
 training text once: texts are dealt to ``ROUNDS`` by a hash, small ones first; in a round every task trains from the same
-weights on the windows of its texts of that round, and the weights are averaged, by their windows, with an aggregation.
+weights on the windows of its texts of that round, and the weights are averaged, by their windows, with an aggregation. A
+task reads as many of the table's parts as it needs to have LEAST_WINDOWS; beyond that, scores still differ a little with
+how the table is dealt, as other tasks' weights are averaged.
 
 How it runs. One pass turns texts into blocks of about ``BLOCK`` bytes, each with its own word list and its texts as
 places in that list. Word rows (one per block and distinct word) are summed by word with partial sums and joined with
@@ -34,6 +36,9 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BLOCK = 12_000_000
 #: Of each round: sixteenths of the training texts, the rate of learning, and windows in a step.
 ROUNDS = ((1, 3e-2, 32), (3, 1.5e-2, 64), (12, 6e-3, 64))
+#: Windows that a task of a round learns from, on average, at least: fewer would leave tasks within the trainer's first
+#: steps, and the mean of such weights is worse than any of them.
+LEAST_WINDOWS = 65_536
 ROWS = 65_536  #: word rows in one Arrow batch
 
 
@@ -224,8 +229,11 @@ def fit(documents: DataFrame, counts: np.ndarray, ranks: dict[bytes, int], held)
     model = lm.Model.start(share / share.sum())
     shared = documents.sparkSession.sparkContext.broadcast(coding)
     part, low = F.pmod(F.xxhash64("doc_id", "text"), F.lit(16)), 0
+    windows = counts.sum() / lm.STRIDE
     for k, (share, rate, step) in enumerate(ROUNDS):
-        own = documents.filter((part >= low) & (part < low + share))
+        # read by few enough tasks, however the table is dealt; nothing is moved
+        tasks = max(1, int(windows * share / 16 / LEAST_WINDOWS))
+        own = documents.filter((part >= low) & (part < low + share)).coalesce(tasks)
         model = averaged(training_windows(own, held, shared), model, rate, step, seed=k)
         low += share
     return coding, model
