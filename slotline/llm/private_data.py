@@ -3,10 +3,16 @@
 Method. Every value that the patterns find (an address, a card number, a telephone) is a protected entity. Over all
 documents: n(e) hold the entity, n(t) hold a term, n(e,t) have the term within ``CONTEXT`` words of the entity, N in all.
 A term's disclosure of an entity is its pointwise mutual information with it over the entity's information content,
-log(n(e,t) N / (n(e) n(t))) / log(N / n(e)): 1 if the term gives the entity away, 0 if it says nothing. In a document
-that holds the entity, the terms near it with ``DISCLOSURE`` or more are marked wherever they stand, as kind ``term``;
-``redact`` generalises all spans to their kind. A common word near an entity stays, since n(t) is large; a name that
-stands hardly anywhere else goes. Where no protected entity is, there is nothing to disclose and no term is marked.
+log(P(e|t) N / n(e)) / log(N / n(e)): 1 if the term gives the entity away, 0 if it says nothing.
+
+Evidence. n(e,t) / n(t) says little where a term is seen once or twice, so P(e|t) is shrunk towards a prior:
+(s n(e,t) / n(t) + STRENGTH * prior) / (s + STRENGTH), where s counts the distinct texts that have the term near the
+entity, copies once. The prior is NAME for a term that stands there with a capital inside a sentence, as names do, and
+WORD for any other. So a rare ordinary word next to an address stays until different texts put it there, and a
+name goes at once unless it stands elsewhere too. A term is marked if its disclosure is DISCLOSURE or more and P(e|t) LEAST
+or more, in a document that holds the entity, wherever it stands there, as kind ``term``; ``redact`` generalises all spans to
+their kind. Where no protected entity is, there is nothing to disclose and no term is marked. In languages that write all
+nouns with a capital, rare nouns next to an entity count as names.
 
 How it runs. Texts without a digit or an at sign can hold no entity and are never shuffled. Of the others, entities and
 terms are 64-bit hashes with a key made for the run, so that scratch tables hold no personal data. Copies of a text are
@@ -39,7 +45,11 @@ PART = "0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 #: Every one of the four patterns needs one of these characters.
 NEEDED = "[0-9@]"
 CONTEXT = 4  #: words on either side
-DISCLOSURE = 0.8
+DISCLOSURE, LEAST = 0.8, 0.5
+STRENGTH, NAME, WORD = 2.0, 0.9, 0.02  #: texts that the prior counts for, and the priors of names and other words
+#: A word with a capital after a word, a number, a comma or an entity; it gets a mark, a letter that no text should have.
+CAPITAL = r"(?<=(?:^|[\p{L}\p{N},;])[\x20])(?=\p{Lu}\p{Ll})"
+MARKED = "\ua7ff"
 TERM = r"[^\p{L}]+"
 CHUNK = 256  #: matches whose words are counted together
 
@@ -80,11 +90,21 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TERM), lambda w: F.length(w) >= 3)
 
 
+def hashed(word: Column, key: str) -> Column:
+    """A word's hash; its last bit is free."""
+    return F.xxhash64(F.lit(key), word).bitwiseAND(F.lit(-2))
+
+
+def _hashed_words(gap: Column, key: str) -> Column:
+    """Hashes of the gap's words in order, the last bit set for those with a capital inside a sentence."""
+    marked = F.filter(F.split(F.lower(F.regexp_replace(gap, CAPITAL, MARKED)), TERM), lambda w: F.length(F.ltrim(w, F.lit(MARKED))) >= 3)
+    return F.transform(marked, lambda w: hashed(F.ltrim(w, F.lit(MARKED)), key) + w.startswith(MARKED).cast("long"))
+
+
 def _surrounded(text: Column, pattern: str, kind: int, keep, key: str) -> Column:
-    hashed = lambda g: F.transform(words_of(g), lambda w: F.xxhash64(F.lit(key), w))
     parts = F.struct(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"),
-        F.transform(F.split(text, F.lit(pattern), -1), hashed).alias("gaps"),
+        F.transform(F.split(text, F.lit(pattern), -1), lambda g: _hashed_words(g, key)).alias("gaps"),
     )
     total = lambda sizes: F.aggregate(sizes, F.lit(0), lambda t, n: t + n)
 
@@ -112,7 +132,8 @@ def _surrounded(text: Column, pattern: str, kind: int, keep, key: str) -> Column
 
 
 def surrounded(text: Column, key: str) -> Column:
-    """The entities of a text, each with the words near it (values of its kind between them are crossed), all hashed."""
+    """The entities of a text, each with the words near it (values of its kind between them are crossed), all hashed; the
+    last bit of a word's hash tells whether it has a capital inside a sentence."""
     return F.concat(*[_surrounded(text, *kind, key) for kind in _kinds()])
 
 
@@ -125,15 +146,22 @@ def disclosing(documents: DataFrame, key: str) -> DataFrame:
     rows = seen.filter(F.col("at") == 0).groupBy("text_key").agg(F.count("*").alias("rows"))  # documents with that text
     near = seen.groupBy("text_key", "entity").agg(F.array_distinct(F.flatten(F.collect_set("near"))).alias("near"))
     near = written(near.join(rows, "text_key"), "near")
-    entities = near.groupBy("entity").agg(F.sum("rows").alias("n_e"))
-    each = near.select("text_key", "entity", "rows", F.explode("near").alias("term"))
-    pairs = each.groupBy("entity", "term").agg(F.sum("rows").alias("n_et")).join(entities, "entity")
-    words = F.array_distinct(F.transform(words_of(text), lambda w: F.xxhash64(F.lit(key), w)))
+    # written, so that the join with it has no aggregation in it and Spark can split an entity that very many texts hold
+    entities = written(near.groupBy("entity").agg(F.sum("rows").alias("n_e")), "protected")
+    terms = F.array_distinct(F.transform("near", lambda h: h.bitwiseAND(F.lit(-2))))  # a term may stand there in either way
+    named = F.transform(terms, lambda t: F.struct(t.alias("term"), F.array_contains("near", t + 1).alias("name")))
+    each = near.select("text_key", "entity", "rows", F.explode(named).alias("x")).select("text_key", "entity", "rows", "x.*")
+    counted = each.groupBy("entity", "term").agg(F.sum("rows").alias("n_et"), F.count("*").alias("texts"), F.bool_or("name").alias("name"))
+    pairs = written(counted, "pairs").join(entities, "entity")
+    words = F.array_distinct(F.transform(words_of(text), lambda w: hashed(w, key)))
     terms = documents.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     total = float(max(documents.filter(text.isNotNull()).count(), 1))
-    told = F.log(F.col("n_et") * F.lit(total) / (F.col("n_e") * F.col("n_t")))
+    prior = F.when(F.col("name"), NAME).otherwise(WORD)
+    likely = (F.col("texts") * F.col("n_et") / F.col("n_t") + STRENGTH * prior) / (F.col("texts") + STRENGTH)
+    told = F.log(F.col("likely") * F.lit(total) / F.col("n_e"))
     information = F.log(F.lit(total) / F.col("n_e"))
-    found = pairs.join(terms, "term").filter((information > 0) & (told >= DISCLOSURE * information)).select("entity", "term")
+    shrunk = pairs.join(terms, "term").withColumn("likely", likely).filter(F.col("likely") >= LEAST)
+    found = shrunk.filter((information > 0) & (told >= DISCLOSURE * information)).select("entity", "term")
     marked = each.join(found, ["entity", "term"]).groupBy("text_key").agg(F.collect_set("term").alias("terms"))
     return written(marked, "terms")
 
@@ -146,7 +174,7 @@ def mark(documents: DataFrame) -> DataFrame:
     may = F.coalesce(F.col("text").rlike(NEEDED), F.lit(False))
     bare = documents.filter(~may).withColumn("found", S.none()).withColumn("terms", S.none())
     own = F.filter(
-        F.array_distinct(words_of(F.col("text"))), lambda w: F.array_contains(F.col("_terms"), F.xxhash64(F.lit(key), w))
+        F.array_distinct(words_of(F.col("text"))), lambda w: F.array_contains(F.col("_terms"), hashed(w, key))
     )
     pattern = _let(
         F.sort_array(own, asc=False),  # of two terms with one beginning, the longer is tried first

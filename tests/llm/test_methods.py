@@ -250,15 +250,25 @@ def test_runs_are_judged_by_the_likelihood_ratio(spark, documents):
 
 # --- personal data ---------------------------------------------------------------------------------------------------
 def naive_terms(rows):
-    """Terms of each text, from the definition: counts over documents, disclosure, terms near the text's entities."""
+    """Terms of each text, from the definition: counts over documents, shrunk shares, disclosure, terms near entities."""
     kinds = [
         (0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", lambda v: True),
         (1, r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", lambda v: all(int(x) <= 255 for x in v.split("."))),
         (2, r"[0-9](?:[\x20-]?[0-9])+", lambda v: 13 <= len(d := re.sub("[ -]", "", v)) <= 19 and sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(reversed(d))) % 10 == 0),
         (3, r"\+[0-9][\x20().0-9-]+[0-9]", lambda v: 9 <= len(re.sub("[^0-9]", "", v)) <= 15),
     ]
-    words = lambda t: [w for w in re.findall(r"[^\W\d_]+", t.lower()) if len(w) >= 3]
-    near, n_t, n_e, n_et = [], collections.Counter(), collections.Counter(), collections.Counter()
+
+    def words(t):
+        """(word, whether it has a capital inside a sentence); a gap's start follows an entity, a text's start does not matter."""
+        out = []
+        for m in re.finditer(r"[^\W\d_]+", t):
+            if len(m[0]) >= 3:
+                before = t[: m.start()]
+                inside = before == " " or (len(before) > 1 and before[-1] == " " and (before[-2].isalnum() or before[-2] in ",;"))
+                out.append((m[0].lower(), inside and m[0][0].isupper() and m[0][1].islower()))
+        return out
+
+    near, n_t, n_e, n_et, seen, names = [], *(collections.Counter() for _ in range(3)), collections.defaultdict(set), set()
     for text in rows:
         own = collections.defaultdict(set)
         for kind, pattern, keep in kinds:
@@ -272,27 +282,55 @@ def naive_terms(rows):
                 if keep(m[0]):
                     left = [w for g in gaps[: i + 1] for w in g][-4:]
                     right = [w for g in gaps[i + 1 :] for w in g][:4]
-                    own[kind, m[0].lower()] |= {*left, *right}
+                    e = kind, m[0].lower()
+                    own[e] |= {w for w, _ in [*left, *right]}
+                    names |= {(e, w) for w, name in [*left, *right] if name}
         near.append(own)
-        n_t.update(set(words(text)))
+        n_t.update({w for w, _ in words(text)})
         n_e.update(own.keys())
         n_et.update((e, t) for e, ts in own.items() for t in ts)
+        for e, ts in own.items():
+            for t in ts:
+                seen[e, t].add(text)
     n = len(rows)
 
     def discloses(e, t):
-        return n > n_e[e] and math.log(n_et[e, t] * n / (n_e[e] * n_t[t])) >= 0.8 * math.log(n / n_e[e]) - 1e-12
+        s = len(seen[e, t])
+        p = (s * n_et[e, t] / n_t[t] + 2 * (0.9 if (e, t) in names else 0.02)) / (s + 2)
+        return n > n_e[e] and p >= 0.5 - 1e-12 and math.log(p * n / n_e[e]) >= 0.8 * math.log(n / n_e[e]) - 1e-12
 
     return [{t for e, ts in own.items() for t in ts if discloses(e, t)} for own in near]
 
 
 def test_terms_by_counting_again(spark, documents):
     planted = ["Ask Zorblax the head, jane@x.org, a@b.cd and Quux of the"] * 3 + ["the +1 (234) 567-8901 desk of Wendlebury", "the head of the desk 10.0.0.1"]
+    planted += [f"the {w} grumbletonk desk x{i}@y.org is {w}y" for i, w in enumerate(["red", "blue", "green", "white", "black"])]  # as many addresses
+    planted += [f"{w} fizzelwick at fizz@y.org is {w}y" for w in ["red", "blue", "green", "white", "black"]]  # one address, five texts
     docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(planted)], SCHEMA))
     got = {r.doc_id: {t.value.lower() for t in r.terms} for r in private_data.mark(docs).select("doc_id", "terms").collect()}
     rows = docs.filter("text is not null").collect()
     want = dict(zip([r.doc_id for r in rows], naive_terms([r.text for r in rows])))
     assert got == {r.doc_id: want.get(r.doc_id, set()) for r in docs.collect()}
     assert sum(map(bool, want.values())) > 5 and {"zorblax", "quux"} <= got[10**6]
+    assert not any("grumbletonk" in got[10**6 + i] for i in range(5, 10)) and all("fizzelwick" in got[10**6 + i] for i in range(10, 15))
+
+
+def test_names_go_and_rare_words_stay(spark, sf):
+    """Planted in whole texts: names next to addresses of their own, and rare ordinary words, as lines or in running text."""
+    rng = np.random.default_rng(8)
+    syllables = ["bran", "dol", "fen", "gar", "hul", "jor", "kel", "mun", "pol", "rus", "tam", "wex"]
+    word = lambda: "".join(rng.choice(syllables, 4))
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").filter("length(text) > 400").orderBy("doc_id").limit(120).collect()]
+    names, rare, rows = {}, {}, []
+    for i, t in enumerate(texts):
+        name, plain, mail = word(), word(), f"m{i}@post{i % 7}.org"
+        names[i], rare[i] = name, plain
+        rows.append((i, f"{t}\nWe asked {name.capitalize()}, {mail}, about the {plain} and the rest."))
+    got = {r.doc_id: {t.value.lower() for t in r.terms} for r in private_data.mark(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "terms").collect()}
+    recall = sum(names[i] in got[i] for i in names) / len(names)
+    lost = sum(rare[i] in got[i] for i in rare) / len(rare)
+    marked = sum(len(got[i]) for i in got)
+    assert recall >= 0.95 and lost <= 0.05 and sum(names[i] in got[i] for i in names) >= 0.9 * marked
 
 
 # --- fingerprints ----------------------------------------------------------------------------------------------------
