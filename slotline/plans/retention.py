@@ -29,8 +29,8 @@ def keep_within_or_last(spark, d):
     AND NOT row_number() OVER (PARTITION BY label ORDER BY created DESC, event_id DESC) = 1 AS expired FROM archives"""))
 def class_retention(spark, d):
     items = views.archives(spark, d)
-    newest = op.latest_item(items, "label", "event_id", ["created", "event_id"]).withColumnRenamed("latest", "current")
-    marked = items.join(newest, "label").withColumn("is_current", F.col("event_id") == F.col("current"))
+    newest = op.latest_item(items, "label", "event_id", ["created", "event_id"]).withColumnRenamed("latest", "current")  # a row for each class
+    marked = items.join(F.broadcast(newest), "label").withColumn("is_current", F.col("event_id") == F.col("current"))
     return op.class_retention(marked, {"view": 35, "click": 40, "signup": 45}, AS_OF).select("event_id", "label", "expired")
 
 

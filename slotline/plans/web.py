@@ -67,8 +67,11 @@ def nested_pin_update(spark, d):
     )
 
 
-@query("url_rewrite", """SELECT page_id, regexp_replace('/o' || (page_id % 3) || '/r' || page_id || '.git/' || CASE page_id % 4 WHEN 0 THEN 'HEAD' WHEN 1 THEN 'info/refs' WHEN 2 THEN 'objects/x' ELSE 'blob' END,
-    '^/[^/]+/([^/]+\\.git/(HEAD|info/refs|packed-refs|description|objects/.*))$', '/\\1') AS path FROM pages""")
+CLONED = f"^/[^/]+/([^/]+\\.git/({'|'.join(tx.CLONE_FILES)}|{tx.CLONE_FOLDER}.*))$"
+
+
+@query("url_rewrite", f"""SELECT page_id, regexp_replace('/o' || (page_id % 3) || '/r' || page_id || '.git/' || CASE page_id % 4 WHEN 0 THEN 'HEAD' WHEN 1 THEN 'info/refs' WHEN 2 THEN 'objects/x' ELSE 'blob' END,
+    '{CLONED}', '/\\1') AS path FROM pages""")
 def url_rewrite(spark, d):
     return views.git_urls(spark, d).select("page_id", tx.clone_rewrite(F.col("url")).alias("path"))
 
