@@ -118,6 +118,18 @@ def test_lm_score_beats_base_on_held_out_texts(spark, sf):
     assert len(known) > 200 and sum(r.score for r in known) > sum(r.base_score for r in known)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the larger tables")
+def test_lm_score_does_not_depend_on_how_the_table_is_dealt(spark):
+    """Small parts of a table are read together, so few tasks' weights are averaged."""
+    held_out = (lm_score.fold(F.col("doc_id"), 5) == 1).alias("held_out")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", held_out)
+    means = []
+    for frame in (docs, docs.repartition(7)):
+        r = lm_score.scored(frame, public_tokenizers.path(lm_score.VOCABULARY)).filter("held_out").agg(F.sum("score"), F.sum("n_tokens")).first()
+        means.append(r[0] / r[1])
+    assert abs(means[0] - means[1]) < 0.03 and max(means) < -3 and min(means) > -4.3
+
+
 def test_lm_trains_on_every_training_text(spark, monkeypatch):
     given = []
     monkeypatch.setattr(lm_score, "averaged", lambda windows, model, rate, step, seed: given.append(windows.count()) or model)
