@@ -3,8 +3,10 @@
 Method. Two first-order Markov models over the characters of ``ALPHABET`` (anything else is one further character)
 are trained from labelled samples. The fixed patterns label: the values that they match are random strings, the runs of
 such characters in documents where they match nothing are ordinary identifiers (words, numbers). Both samples hold
-distinct values, the random ones at most ``SAMPLE`` and the ordinary ones from at most ``SAMPLE`` documents, each also in
-capitals, as both are written in either case; every count has one added. A quarter of each, told by a hash, is not trained on: the threshold of the mean log-likelihood ratio of a
+distinct values, the random ones at most ``SAMPLE`` and the ordinary ones from at most ``SAMPLE`` documents, and each value
+in further spellings: secrets are written in other alphabets than those that patterns know, so the bytes of a hexadecimal
+one also stand in base 64; names are written as compounds, so three words in a row also stand joined, in camel case or by
+underscores, hyphens or slashes, or one with a date or a number. All also stand in capitals. Every count has one added. A quarter of each, told by a hash, is not trained on: the threshold of the mean log-likelihood ratio of a
 value's steps lies a quarter of the way from the high end of the held-out ordinary runs (one in a thousand is above) to
 the low end of the held-out secrets (all but 5 % are above), or at the former if they overlap: other kinds of random
 string than the patterns know are less unlike words than those are. Then every run of ``LEAST`` or
@@ -57,18 +59,42 @@ def pairs(value: Column) -> Column:
     return F.arrays_zip(F.slice(chars, 1, last).alias("a"), F.slice(chars, 2, last).alias("b"))
 
 
+def spelled(value: Column, random: Column) -> Column:
+    """A labelled value in the ways in which such values are written."""
+    raw = F.base64(F.unhex(value))
+    is_hex = random & value.rlike("^(?:[0-9a-f]{2}){8,}$")
+    both = F.array(value, F.upper(value))
+    return F.array_distinct(F.when(is_hex, F.concat(both, F.array(raw, F.upper(raw)))).otherwise(both))
+
+
+def compounds(text: Column) -> Column:
+    """Each three words in a row as one name, joined in one of four ways, or the first with a date or a number."""
+    words = F.filter(F.split(text, "[^A-Za-z]+"), lambda w: F.length(w).between(2, 14))
+    last = F.floor(F.size(words) / 3).cast("int") - 1
+    threes = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice(words, i * 3 + 1, 3))
+
+    def joined(t: Column) -> Column:
+        camel = F.concat(F.lower(t[0]), F.initcap(t[1]), F.initcap(t[2]))
+        way, number = F.pmod(F.xxhash64(t), F.lit(6)), F.pmod(F.xxhash64(t, F.lit("number")), F.lit(10**16))
+        dated = F.concat(F.lower(t[0]), F.lit("-"), F.date_format(F.timestamp_seconds(number % (1 << 31)), "yyyy-MM-dd_HH-mm-ss"))
+        joins = [camel, F.array_join(t, "_"), F.array_join(t, "-"), F.array_join(t, "/"), dated]
+        return F.coalesce(*[F.when(way == i, x) for i, x in enumerate(joins)], F.concat(t[0], F.lit("_"), number.cast("string")))
+
+    return F.transform(F.filter(threes, lambda t: F.size(t) == 3), joined)
+
+
 def samples(documents: DataFrame, sample: int) -> DataFrame:
-    """(random, w, held): distinct labelled values; ``held`` ones are for the threshold."""
+    """(random, w, held): distinct labelled values, spelled; ``held`` ones are for the threshold."""
     text = F.col("text")
     found = documents.filter(text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX)).select(fixed(text).alias("found"))
     secrets = found.select(F.explode("found.value").alias("w")).distinct().orderBy(F.xxhash64("w"), "w").limit(sample)
     plain = documents.filter(~(text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX)) & F.col("doc_id").isNotNull())
     chosen = F.broadcast(plain.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct())
     runs = F.filter(F.split("text", f"[^{CHARACTERS}]+"), lambda w: F.length(w) >= 6)
-    ordinary = plain.join(chosen, "doc_id", "left_semi").select(F.explode(runs).alias("w")).distinct()
+    ordinary = plain.join(chosen, "doc_id", "left_semi").select(F.explode(F.concat(runs, compounds(text))).alias("w")).distinct()
     both = secrets.withColumn("random", F.lit(True)).unionByName(ordinary.withColumn("random", F.lit(False)))
     both = both.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "w"), F.lit(HELD_OUT)) == 0)
-    return both.withColumn("w", F.explode(F.array_distinct(F.array("w", F.upper("w")))))
+    return both.withColumn("w", F.explode(spelled(F.col("w"), F.col("random"))))
 
 
 def ratios(labelled: DataFrame) -> list[float]:

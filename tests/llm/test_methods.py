@@ -248,6 +248,41 @@ def test_runs_are_judged_by_the_likelihood_ratio(spark, documents):
     assert (19, 35) not in got[10**6 + 3] and (36, 55) not in got[10**6 + 3]
 
 
+def test_kinds_of_secrets_and_of_names(spark, documents):
+    """Trained on hexadecimal tokens as the tables have them: recall on other kinds of random strings, and how few written
+    names of unseen words are taken for secrets."""
+    import base64
+
+    rng = np.random.default_rng(12)
+    alnum = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+    tokens = [(10**6 + i, f'a token = "{rng.bytes(20).hex()}" here') for i in range(150)]
+    rows = documents.select("doc_id", "text").collect()
+    unseen = [w.lower() for r in rows[::2] for w in re.findall("[A-Za-z]{3,12}", r.text or "")]
+    seen = documents.filter(F.col("doc_id").isin([r.doc_id for r in rows[1::2]])).select("doc_id", "text")
+    secrets = {
+        "base64": lambda: base64.b64encode(rng.bytes(24)).decode(),
+        "mixed": lambda: "".join(rng.choice(alnum, 24)),
+        "capitals": lambda: "".join(rng.choice(alnum[26:], 24)),
+        "hex": lambda: rng.bytes(16).hex(),
+    }
+    some = lambda n: [str(w) for w in rng.choice(unseen, n)]
+    names = {
+        "camel": lambda: (lambda w: w[0] + "".join(x.capitalize() for x in w[1:]))(some(4)),
+        "path": lambda: "/" + "/".join(some(4)),
+        "hyphens": lambda: "-".join(some(4)),
+        "dots": lambda: ".".join(some(4)),
+        "underscores": lambda: "_".join(some(4)).upper(),
+    }
+    made = [(kind, make()) for kinds in (secrets, names) for kind, make in kinds.items() for _ in range(100)]
+    ratio, margin = secret_scan.fit(seen.unionByName(spark.createDataFrame(tokens, SCHEMA)))
+    text = F.col("text")
+    places = secret_scan.S.matches(text, f"[{secret_scan.CHARACTERS}]{{{secret_scan.LEAST},}}+", 3, lambda v: secret_scan.likely(v, ratio) > margin)
+    frame = spark.createDataFrame([(i, f"the {v} of it") for i, (_, v) in enumerate(made)], SCHEMA)
+    got = {r.doc_id: r.n for r in frame.select("doc_id", F.size(places).alias("n")).collect()}
+    share = {kind: np.mean([got[i] > 0 for i, (k, _) in enumerate(made) if k == kind]) for kind in [*secrets, *names]}
+    assert all(share[k] > 0.9 for k in secrets) and all(share[k] < 0.1 for k in names), share
+
+
 # --- personal data ---------------------------------------------------------------------------------------------------
 def naive_terms(rows):
     """Terms of each text, from the definition: counts over documents, shrunk shares, disclosure, terms near entities."""
