@@ -5,7 +5,7 @@ are trained from labelled samples. The fixed patterns label: the values that the
 such characters in documents where they match nothing are ordinary identifiers (words, numbers). Both samples hold
 distinct values, the random ones at most ``SAMPLE`` and the ordinary ones from at most ``SAMPLE`` documents, and each value
 in further spellings: secrets are written in other alphabets than those that patterns know, so the bytes of a hexadecimal
-one also stand in base 64; names are written as compounds, so three words in a row also stand joined, in camel case or by
+one also stand in base 64; names are written as compounds, so in one of ``COMPOUND`` documents three words in a row also stand joined, in camel case or by
 underscores, hyphens or slashes, or one with a date or a number. All also stand in capitals. Every count has one added. A quarter of each, told by a hash, is not trained on: the threshold of the mean log-likelihood ratio of a
 value's steps lies a quarter of the way from the high end of the held-out ordinary runs (one in a thousand is above) to
 the low end of the held-out secrets (all but 5 % are above), or at the former if they overlap: other kinds of random
@@ -38,6 +38,7 @@ CHARACTERS = "A-Za-z0-9+/_=-"
 LEAST = 16  #: characters of a run that is judged
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SAMPLE = 4_000  #: distinct secrets, and documents for ordinary runs, that the models are trained from, at most
+COMPOUND = 8  #: one in so many of those documents gives compounds
 HELD_OUT = 4  #: one in so many sampled values calibrates the threshold
 MARGIN = 0.4  #: nats per step, where no secret is known
 
@@ -91,7 +92,8 @@ def samples(documents: DataFrame, sample: int) -> DataFrame:
     plain = documents.filter(~(text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX)) & F.col("doc_id").isNotNull())
     chosen = F.broadcast(plain.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct())
     runs = F.filter(F.split("text", f"[^{CHARACTERS}]+"), lambda w: F.length(w) >= 6)
-    ordinary = plain.join(chosen, "doc_id", "left_semi").select(F.explode(F.concat(runs, compounds(text))).alias("w")).distinct()
+    some = F.when(F.pmod(F.xxhash64(F.lit("compound"), "doc_id"), F.lit(COMPOUND)) == 0, compounds(text)).otherwise(F.array().cast("array<string>"))
+    ordinary = plain.join(chosen, "doc_id", "left_semi").select(F.explode(F.concat(runs, some)).alias("w")).distinct()
     both = secrets.withColumn("random", F.lit(True)).unionByName(ordinary.withColumn("random", F.lit(False)))
     both = both.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "w"), F.lit(HELD_OUT)) == 0)
     return both.withColumn("w", F.explode(spelled(F.col("w"), F.col("random"))))
