@@ -426,6 +426,41 @@ def test_word_table_learns_in_any_order():
 
 
 # --- near copies -----------------------------------------------------------------------------------------------------
+def test_no_near_pair_is_left_without_a_key(spark, monkeypatch):
+    """Pairs at exactly 0.8, found among 240,000 as those that share none of 56 keys of 8 min-hashes; in any order of the hashes."""
+    from slotline.llm import near_shingles as near
+
+    rows = []
+    for i in (20172, 24923, 128096, 135249, 186641, 192053, 205215, 208778):
+        words = [f"w{i}x{j}" for j in range(40)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words[:36], *(f"v{i}x{j}" for j in range(4))]))]
+        rows.append((len(rows), " ".join([*words[:35], *(f"u{i}x{j}" for j in range(5))])))  # 31 of 41: not alike
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for often in (1, 2, 3):
+        monkeypatch.setattr(near, "OFTEN", often)
+        got = {r.doc_id: r.component_id for r in near.linked(docs).collect()}
+        assert all(got[i + 1] == got[i] == i and got[i + 2] == i + 2 for i in range(0, len(rows), 3))
+
+
+def test_keys_of_random_sets_meet():
+    """Each pair of sets at the similarity shares a key that leaves enough of both, whichever hashes come last."""
+    from slotline.llm import near_shingles as near
+
+    rng, met = np.random.default_rng(3), 0
+    for _ in range(3000):
+        base = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 60)).astype("<u8"))
+        x, y = (np.unique(np.append(base[rng.random(len(base)) > 0.1], rng.integers(0, 1 << 63, rng.integers(0, 4)).astype("<u8"))) for _ in "xy")
+        both, (m, n) = len(np.intersect1d(x, y)), (len(x), len(y))
+        if not both or 10 * both < 8 * (m + n - both):
+            continue
+        last = np.sort(rng.choice(base, int(len(base) * rng.random()), replace=False))
+        a, b = (near.first_keys(s, last, np.argsort(last[::-1]), 0.8).tolist() for s in (x, y))
+        places = [(a.index(h), b.index(h)) for h in set(a) & set(b)]
+        assert any(9 * min(m - i, n - j) >= 4 * (m + n) for i, j in places)
+        met += 1
+    assert met > 300
+
+
 def test_sketches_allow_every_alike_pair(spark):
     """The bound never refuses a pair of the similarity, and refuses many that are not alike."""
     from slotline.llm import near_shingles as near
