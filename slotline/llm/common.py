@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +47,22 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table_.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def sweeping(spark: SparkSession):
+    """Within, a step's shuffle files are deleted as soon as it has ended, and not when the driver's next large garbage
+    collection finds that no plan needs them. For steps that end in ``written``, whose results read no shuffle again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 _MACHINE: dict = {}
 
 

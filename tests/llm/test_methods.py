@@ -511,3 +511,28 @@ def test_sketches_allow_every_alike_pair(spark):
     frame = spark.createDataFrame(rows, "i long, m long, n long, sx array<long>, sy array<long>")
     kept = {r.i for r in frame.filter(near.possible(0.8)).collect()}
     assert {i for i, a in enumerate(alike) if a} <= kept and len(kept) < len(rows) - 8
+
+
+def test_near_copies_leave_neither_shuffles_nor_dead_tables(spark):
+    """What a step has moved and what no later step reads is off the disks when the groups are told."""
+    import glob
+    import os
+    import time
+
+    from slotline.llm import near_shingles as near
+
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    moved = lambda: {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*")}
+    tables = lambda: set(os.listdir(re.sub("^file:/*", "/", spark.conf.get("spark.checkpoint.dir"))))
+    rows = [(i, " ".join(f"w{i // 3}x{j}" for j in range(60)) + " edited" * (i % 3)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before, at_first, setting = moved(), tables(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting, None)
+    got = near.linked(docs)
+    for _ in range(50):
+        if moved() <= before:
+            break
+        time.sleep(0.2)
+    assert moved() <= before and spark.conf.get(setting, None) == was
+    assert {t.rsplit("-", 1)[0] for t in tables() - at_first} <= {"rows", "names", "named", "labels", "pivoted", "lists", "alike"}
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i - i % 3 for i, _ in rows}
