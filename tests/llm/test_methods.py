@@ -513,6 +513,32 @@ def test_sketches_allow_every_alike_pair(spark):
     assert {i for i, a in enumerate(alike) if a} <= kept and len(kept) < len(rows) - 8
 
 
+def test_pairs_are_not_listed_at_each_key_they_share(spark):
+    """Edited copies share dozens of keys: each pair of them is listed, and few more than once in either order."""
+    from pyspark.sql import functions as F
+
+    from slotline.llm import near_shingles as near
+
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 400).astype("<u8")
+    sets = [np.unique(np.append(base[rng.random(400) > 0.1], rng.integers(0, 1 << 63, 20).astype("<u8"))) for _ in range(30)]
+    none = np.zeros(0, dtype="<u8")
+    rows = [(i, len(s), near.sketch(s).tolist(), near.first_keys(s, none, none, 0.8).tolist()) for i, s in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "id long, size long, sketch array<long>, keys array<long>")
+    shared = frame.select("id", "size", F.col("id").alias("grp"), F.posexplode("keys").alias("place", "key"))
+    got = [(r.a, r.b) for r in near.pairs_between(shared, frame.select("id", "sketch", "keys"), 0.8).collect()]
+    possible = {
+        (r.a, r.b)
+        for r in frame.select(F.col("id").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("sx"))
+        .join(frame.select(F.col("id").alias("b"), F.col("size").alias("n"), F.col("sketch").alias("sy")), F.col("a") < F.col("b"))
+        .filter(near.possible(0.8))
+        .collect()
+    }
+    alike = {(i, j) for i in range(30) for j in range(i + 1, 30) for n in [len(np.intersect1d(sets[i], sets[j]))] if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n)}
+    assert alike <= set(got) <= possible and len(set(got)) > 100
+    assert len(got) < 3 * len(set(got))  # in either order once, and few again
+
+
 def test_near_copies_leave_neither_shuffles_nor_dead_tables(spark):
     """What a step has moved and what no later step reads is off the disks when the groups are told."""
     import glob
