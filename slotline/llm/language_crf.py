@@ -17,8 +17,9 @@ same name.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -116,9 +117,8 @@ def feature_lists(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return flat, size
 
 
-def forward_backward(scores: np.ndarray, move: np.ndarray, mask: np.ndarray, count: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals [n, t, y], expected transitions [y, y] and log partitions [n]. scores: [n, t, y], padded at the end.
-    ``count``: whether the transitions are wanted."""
+def forward_backward(scores: np.ndarray, move: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals [n, t, y], expected transitions [y, y] and log partitions [n]. scores: [n, t, y], padded at the end."""
     n, t, y = scores.shape
     top = scores.max(axis=2, keepdims=True)
     local = np.exp(scores - top)
@@ -137,8 +137,7 @@ def forward_backward(scores: np.ndarray, move: np.ndarray, mask: np.ndarray, cou
     for k in range(t - 2, -1, -1):
         inner = local[:, k + 1] * after / scale[:, k + 1, None]
         inner = np.where(mask[:, k + 1, None], inner, 0.0)
-        if count:
-            expected += step * (forth[:, k].T @ inner)
+        expected += step * (forth[:, k].T @ inner)
         after = np.where(mask[:, k + 1, None], inner @ step.T, after)
         back[:, k] = after
     marginal = forth * back
@@ -146,6 +145,44 @@ def forward_backward(scores: np.ndarray, move: np.ndarray, mask: np.ndarray, cou
     return marginal, expected, (np.log(scale) * mask).sum(axis=1) + (top[:, :, 0] * mask).sum(axis=1)
 
 
+def mean_marginals(chains: list[np.ndarray], scores: np.ndarray, move: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """Forward-backward for prediction: mean marginals [n, y] over the words of each chain that ``told`` marks. Chains are
+    places of words in ``scores`` [word, y] and ``told``; shorter chains come first, so that those that reach a step are the
+    last ones and no step computes padding. What all languages of a step share cancels out."""
+    sizes = np.fromiter(map(len, chains), dtype=np.int64, count=len(chains))
+    n, t = len(chains), int(sizes[-1])
+    start = np.searchsorted(sizes, np.arange(t), side="right").tolist()  # the first chain that has a word at each step
+    ids = np.zeros((t, n), dtype=np.int64)
+    for k, own in enumerate(chains):
+        ids[: len(own), k] = own
+    local, marked = scores.T[:, ids], told[ids].astype(scores.dtype)
+    local -= local.max(axis=0)
+    np.exp(local, out=local)
+    step = np.exp(move).astype(scores.dtype)
+    back = step.T.copy()
+    forth = local.copy()
+    now = forth[:, 0]
+    now /= now.sum(axis=0)
+    for k in range(1, t):
+        own = forth[:, k, start[k] :]
+        own *= back @ now[:, now.shape[1] - own.shape[1] :]
+        own /= own.sum(axis=0)
+        now = own
+    shares = np.zeros((len(local), n))
+    after = np.ones((len(local), n), dtype=scores.dtype)
+    for k in range(t - 1, -1, -1):
+        a = start[k]
+        both = forth[:, k, a:] * after[:, a:]
+        both *= marked[k, a:] / both.sum(axis=0)
+        shares[:, a:] += both
+        if k:
+            own = step @ (local[:, k, a:] * after[:, a:])
+            own /= own.sum(axis=0)
+            after[:, a:] = own
+    reached = np.arange(t)[:, None] < sizes
+    return (shares / (marked * reached).sum(axis=0)).T
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -163,19 +200,19 @@ class Model:
         y = len(languages)
         chains, labels = [], []
         for _ in range(SEQUENCES):
-            chain, label = [], []
-            while len(chain) < LENGTH:
+            spliced, label = [], []
+            while len(spliced) < LENGTH:
                 lang = int(rng.integers(y))
                 words = by[lang][rng.integers(len(by[lang]))]
                 size = int(rng.integers(*PIECE))
                 at = int(rng.integers(max(1, len(words) - size + 1)))
                 part = words[at : at + size]
-                chain += part
+                spliced += part
                 label += [lang] * len(part)
-            chains.append(chain[:LENGTH])
+            chains.append(spliced[:LENGTH])
             labels.append(label[:LENGTH])
         place: dict[str, int] = {}
-        at_word = np.array([[place.setdefault(w, len(place)) for w in chain] for chain in chains])
+        at_word = np.array([[place.setdefault(w, len(place)) for w in words] for words in chains])
         flat_of, size_of = feature_lists(list(place))
         first_of = np.cumsum(size_of) - size_of
         gold = np.array(labels)
@@ -228,7 +265,8 @@ class Labeller:
         self.scores = np.zeros((0, len(self.model.languages) if self.model else 1), dtype=np.float32)
         self.lettered = np.zeros(0, dtype=bool)
 
-    def places(self, words: list[str]) -> np.ndarray:
+    def learn(self, words: Iterable[str]) -> None:
+        """Takes words that are new into the tables."""
         new = list(set(words).difference(self.place))
         if new:
             base = len(self.place)
@@ -240,6 +278,12 @@ class Labeller:
             for at, bare, wide in width_groups(new):
                 self.scores[base + at] = self.model.weight[feature_ids(bare, wide)].sum(axis=1)
             self.lettered[base : base + len(new)] = list(map(has_letter, new))
+
+    def places(self, words: list[str]) -> np.ndarray:
+        self.learn(words)
+        return self._places(words)
+
+    def _places(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -249,20 +293,15 @@ class Labeller:
         if len(self.place) > MAX_WORDS:
             self.begin()
         chains = [(i, words_of(t)) for i, t in enumerate(texts) if t and has_letter(t)]
-        chains = sorted(((i, self.places(w)) for i, w in chains if w), key=lambda x: len(x[1]))
+        self.learn(chain.from_iterable(w for _, w in chains))  # of all texts at once, as calls for few words cost most
+        chains = sorted(((i, self._places(w)) for i, w in chains if w), key=lambda x: len(x[1]))
         at = 0
         while at < len(chains):
             upto = at + 1
             while upto < len(chains) and len(chains[upto][1]) * (upto + 1 - at) <= CELLS:
                 upto += 1
             part = chains[at:upto]
-            longest = len(part[-1][1])
-            ids, mask = np.zeros((len(part), longest), dtype=np.int64), np.zeros((len(part), longest), dtype=bool)
-            for k, (_, x) in enumerate(part):
-                ids[k, : len(x)], mask[k, : len(x)] = x, True
-            marginal, _, _ = forward_backward(self.scores[ids], self.model.move, mask, count=False)
-            told = (mask & self.lettered[ids]).astype(np.float32)
-            share = (told[:, None, :] @ marginal)[:, 0] / told.sum(axis=1)[:, None]
+            share = mean_marginals([x for _, x in part], self.scores, self.model.move, self.lettered)
             for (i, _), s in zip(part, share):
                 best = int(s.argmax())
                 out[i] = (self.model.languages[best], float(min(1.0, s[best])))

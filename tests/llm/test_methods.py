@@ -231,6 +231,26 @@ def test_letters_and_long_words():
         assert len(lists[0]) == 3 * len(x) + 3 + 4  # 1- to 3-grams with the ends marked, three affixes, the word
 
 
+def test_chains_of_one_batch_by_themselves(monkeypatch):
+    """Chains of all lengths at once have the means that forward-backward gives each alone; new words of many texts are
+    scored together."""
+    rng, letters = np.random.default_rng(4), "abcdefgh"
+    words = ["".join(rng.choice(list(letters), rng.integers(1, 9))) for _ in range(900)] + ["12", "--", "x" * 60]
+    weight = rng.normal(size=(language_crf.BUCKETS, 3)).astype(np.float32)
+    weight[0] = 0
+    model = language_crf.Model(["a", "b", "c"], weight, rng.normal(size=(3, 3)))
+    texts = ["a", *(" ".join(rng.choice(words, n)) + " z" for n in [*rng.integers(1, 90, 200).tolist(), 2000])]
+    worker, calls, real = language_crf.Labeller(model), [], language_crf.feature_ids
+    monkeypatch.setattr(language_crf, "feature_ids", lambda w, n: calls.append(len(w)) or real(w, n))
+    got = worker.predict(texts)
+    assert len(calls) <= 4 and sum(calls) == len(worker.place)
+    for text, (lang, score) in zip(texts, got):
+        places = worker.places(text.split())
+        marginal, _, _ = language_crf.forward_backward(worker.scores[places][None].astype(float), model.move, np.ones((1, len(places)), bool))
+        mean = marginal[0][worker.lettered[places]].mean(axis=0)
+        assert model.languages[int(mean.argmax())] == lang and abs(mean.max() - score) < 1e-4
+
+
 def test_und_needs_a_letter(spark, documents):
     model = language_crf.fit(documents)
     rows = [(1, "² ½"), (2, None), (3, ""), (4, "x ² ²"), (None, "and the"), (5, "and " * 30_000), (5, "and " * 30_000)]
