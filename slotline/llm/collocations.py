@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ UNKNOWN = "und"
 BLOCK_BYTES, BLOCK_WORDS = 12_000_000, 400_000  #: a block is closed at the first of these, between texts
 IN_TASK = 33  #: bits of an id that count within a task
 CHUNK = 1 << 22  #: places in one row: most blocks are one, very long texts are cut where no phrase goes on
+STRETCH = 1 << 19  #: places whose pairs or paths a trie takes at once
 HOT = 500_000  #: occurrences that a prefix partition has on average, and the most that a first word brings it undivided
 PACKED = 500_000  #: words or pairs that a merging task gathers before it deals them to their blocks
 _APART = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\xff" * 10)  # a byte that no UTF-8 text has
@@ -288,32 +290,36 @@ class Block:
 
     def __init__(self, rows: pa.Table):
         texts = rows.filter(rows.column("places").is_valid())
-        self.x = _parts_of(texts).astype(np.int64)
+        self.x = _parts_of(texts)
         lists = [np.concatenate([[0], *(np.frombuffer(r, dtype="<i8") for r in texts.column(c).to_pylist() if r)]) for c in ("numbers", "parts")]
         self.number, self.parts = lists[0].astype(np.int64), lists[1].astype(np.int64)
         packed = [np.frombuffer(r, dtype="<i8") for r in rows.column("pairs").to_pylist() if r]
         self.pairs = np.concatenate([np.zeros(0, dtype="<i8"), *packed]).reshape(-1, 2)
 
-    def distinct_pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Neighbours that are both frequent, with counts, as codes."""
-        x, n = self.x, len(self.number)
+    def distinct_pairs(self, at: int) -> tuple[np.ndarray, np.ndarray]:
+        """Neighbours that are both frequent, with counts, as codes, of which the first stands in the stretch from ``at`` on."""
+        x, n = self.x[at : at + STRETCH + 1].astype(np.int64), len(self.number)
         both = (x[:-1] > 0) & (x[1:] > 0)
         key, counts = np.unique(x[:-1][both] * n + x[1:][both], return_counts=True)
         return np.stack([key // n, key % n], axis=1), counts
 
-    def distinct_paths(self) -> tuple[np.ndarray, np.ndarray]:
-        """From each place on, the words as far as neighbours are frequent pairs, with counts, as codes; paths of three
-        words or more."""
-        x, n, width = self.x, len(self.number), LONGEST
+    @cached_property
+    def frequent_pairs(self) -> np.ndarray:
+        """Codes of both words in one number, in order."""
         pairs = np.searchsorted(self.number, self.pairs)
-        frequent = np.sort(pairs[:, 0] * n + pairs[:, 1])
-        key = x[:-1] * n + x[1:]
+        return np.sort(pairs[:, 0] * len(self.number) + pairs[:, 1])
+
+    def distinct_paths(self, at: int) -> tuple[np.ndarray, np.ndarray]:
+        """From each place of the stretch from ``at`` on, the words as far as neighbours are frequent pairs, with counts, as
+        codes; paths of three words or more."""
+        x, n, width, frequent = self.x[at : at + STRETCH + LONGEST].astype(np.int64), len(self.number), LONGEST, self.frequent_pairs
         linked = np.zeros(len(x) + width, dtype=bool)
         if len(frequent):
+            key = x[:-1] * n + x[1:]
             place = np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)
             linked[: len(key)] = (frequent[place] == key) & (x[:-1] > 0) & (x[1:] > 0)
-        starts = np.flatnonzero(linked[:-1] & linked[1:])
-        paths = np.zeros((len(starts), width), dtype=np.int64)
+        starts = np.flatnonzero((linked[:-1] & linked[1:])[:STRETCH])
+        paths = np.zeros((len(starts), width), dtype="<u4")
         on = np.ones(len(starts), dtype=bool)
         rank = np.zeros(len(starts), dtype=np.int64)
         for k in range(width):
@@ -336,10 +342,13 @@ def _mixed(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def runs_of(block: int, of: Block, width: int, kind: str, buckets: int) -> Iterator[pa.RecordBatch]:
-    """A block's pairs (width 2) or paths, counted in a trie: the runs that it leaves, dealt to the prefix partitions."""
-    trie = HatTrie(width, kind)
-    codes, counts = of.distinct_pairs() if width == 2 else of.distinct_paths()
-    left = [*trie.add(of.number[codes], counts), *trie.spill()]
+    """A block's pairs (width 2) or paths, counted in a trie, stretch by stretch: the runs that it leaves, dealt to the
+    prefix partitions."""
+    trie, left, number = HatTrie(width, kind), [], of.number.astype(f"<{kind}")
+    for at in range(0, len(of.x), STRETCH):
+        codes, counts = of.distinct_pairs(at) if width == 2 else of.distinct_paths(at)
+        left += trie.add(number[codes], counts)
+    left += trie.spill()
     if not left:
         return
     first = np.repeat([f for f, _, _ in left], [len(n) for _, _, n in left])
@@ -349,7 +358,9 @@ def runs_of(block: int, of: Block, width: int, kind: str, buckets: int) -> Itera
     own = np.where(parts > 1, _mixed([rests[:, k] for k in range(min(2, width - 1))]) % parts.astype(np.uint64), 0)
     bucket = (_mixed([first, own + 1]) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    paths = np.concatenate([first[:, None], rests], axis=1).astype(f"<{kind}")[order]
+    paths = np.empty((len(first), width), dtype=f"<{kind}")  # no wider copy of all paths is made
+    paths[:, 0], paths[:, 1:] = first[order], rests[order]
+    del left, rests
     n, bucket = n[order].astype("<u4"), bucket[order]
     edges = [*np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist(), len(bucket)]
     rows = [(int(bucket[a]), block, paths[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(edges, edges[1:])]

@@ -168,6 +168,36 @@ def test_small_blocks_and_tries_give_the_same(spark, monkeypatch):
     assert as_rows(collocations.mined(frame, 4)) == want and len(want) > 20
 
 
+def test_stretches_of_a_block_give_the_same(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, prose(i, 300), "en") for i in range(12)], LANGS).repartition(3)
+    want = as_rows(collocations.mined(frame, 4))
+    for size in (1, 6, 64):
+        monkeypatch.setattr(collocations, "STRETCH", size)
+        assert as_rows(collocations.mined(frame, 4)) == want
+
+
+def test_a_block_is_counted_in_bounded_memory():
+    """Beside the block itself, what counting its paths takes grows little with its length."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    x = np.minimum(rng.zipf(1.3, 900_000), 3_000).astype("<u4")
+    x[rng.random(len(x)) < 0.05] = 0
+    n = 3_000
+    both = np.unique(np.stack([x[:-1], x[1:]], axis=1)[(x[:-1] > 0) & (x[1:] > 0)], axis=0).astype("<i8")
+    row = collocations._rows(
+        collocations.CODED_ROW, block=[1], place=[0], n=[len(x)], places=[collocations._packed(x)],
+        numbers=[np.arange(1, n + 1, dtype="<i8").tobytes()], parts=[np.ones(n, dtype="<i8").tobytes()], pairs=[both.tobytes()],
+    )
+    tracemalloc.start()
+    got = sum(np.frombuffer(c, dtype="<u4").sum() for b in collocations.runs_of(1, collocations.Block(pa.Table.from_batches([row])), 5, "u4", 64) for c in b.column(3).to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got > 600_000 and peak < 122e6
+
+
 @pytest.mark.parametrize("kind", ["u4", "u8"])
 def test_trie_counts_paths(kind):
     rng = np.random.default_rng(1)
