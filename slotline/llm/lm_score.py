@@ -21,16 +21,20 @@ alike. Columns other than doc_id and text are not read, so their names cannot cl
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotline.llm import attention_lm as lm
 from slotline.llm.byte_bpe import read_ranks
-from slotline.llm.common import fold, machine, table, written
+from slotline.llm.common import fold, machine, release, table, written
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BLOCK = 12_000_000
@@ -40,6 +44,7 @@ ROUNDS = ((1, 3e-2, 32), (3, 1.5e-2, 64), (12, 6e-3, 64))
 #: steps, and the mean of such weights is worse than any of them.
 LEAST_WINDOWS = 65_536
 ROWS = 65_536  #: word rows in one Arrow batch
+SOME = 8_192  #: words made subwords at once
 
 
 class Blocks(dict):
@@ -59,6 +64,7 @@ def blocked(documents: DataFrame) -> DataFrame:
     names = ["block", "doc_id", "held_out", "n", "places", "place", "word"]
 
     def run(batches):
+        release()
         task, number = TaskContext.get().partitionId(), 0
         words, training, texts, size = Blocks(), [], [], 0
 
@@ -121,10 +127,12 @@ class Subwords:
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and how many each word has."""
-        found = [self.coding.encode_ordinary(" " + w.decode("utf-8")) for w in words]
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter((i for x in found for i in x), dtype=np.int64, count=int(sizes.sum()))
-        return flat, sizes
+        flats, sizes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for at in range(0, len(words), SOME):  # lists of some words only are held at once
+            found = [self.coding.encode_ordinary(" " + w.decode("utf-8")) for w in words[at : at + SOME]]
+            sizes.append(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+            flats.append(np.fromiter((i for x in found for i in x), dtype=np.int64, count=int(sizes[-1].sum())))
+        return np.concatenate(flats), np.concatenate(sizes)
 
 
 def _subwords(held) -> Subwords:
@@ -159,53 +167,79 @@ def laid_out(places: list[np.ndarray], starts: np.ndarray, sizes: np.ndarray, fl
     return ids, np.diff(np.concatenate([[0], upto])), size
 
 
-def training_windows(documents: DataFrame, held, coding) -> DataFrame:
-    """(x, y): packed 16-bit inputs (-1: none) and target classes (-1: not scored) of the texts' windows."""
-
-    def run(batches):
-        subwords, code = _subwords(held), coding.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                texts = [(t or "").encode("utf-8").lower().split() for t in batch.slice(at, 64).column(0).to_pylist()]
-                words = Blocks()
-                places = [np.fromiter(map(words.__getitem__, t), dtype=np.int64, count=len(t)) for t in texts]
-                flat, sizes = subwords.of(list(words))
-                ids, lengths, _ = laid_out(places, np.cumsum(sizes) - sizes, sizes, flat, code.end)
-                before = code.inputs[np.concatenate([[code.end], ids[:-1]])]
-                before[np.cumsum(lengths) - lengths] = code.inputs[code.end]
-                x, valid, scored, live = lm.gather(before, lm.windows(lengths))
-                x, y = np.where(valid, x, -1).astype("<i2"), np.where(live, code.classes[ids][scored], -1).astype("<i2")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r.tobytes() for r in m], pa.binary()) for m in (x, y)], names=["x", "y"]
-                )
-
-    return documents.select("text").mapInArrow(run, "x binary, y binary")
-
-
-def unpacked(xs: list[bytes], ys: list[bytes]):
-    x = np.frombuffer(b"".join(xs), dtype="<i2").reshape(-1, lm.SPAN).astype(np.int32)
-    y = np.frombuffer(b"".join(ys), dtype="<i2").reshape(-1, lm.STRIDE).astype(np.int32)
-    return np.maximum(x, 0), x >= 0, np.maximum(y, 0), y >= 0
-
-
-def averaged(windows: DataFrame, model: lm.Model, rate: float, step: int, seed: int) -> lm.Model:
+@dataclass
+class Windows:
+    """Windows of training texts. They are made in the worker that learns from them, so a task has one worker and no window
+    is handed from one to another. ``held``, ``coding``: broadcasts of the ranks and the coding."""
+
+    documents: DataFrame
+    held: Broadcast
+    coding: Broadcast
+
+    def made(self) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]]:
+        """From batches of texts to inputs [n, SPAN] (-1: none) and target classes [n, STRIDE] (-1: not scored)."""
+        held, coding = self.held, self.coding
+
+        def run(batches):
+            subwords, code = _subwords(held), coding.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    texts = [(t or "").encode("utf-8").lower().split() for t in batch.slice(at, 64).column(0).to_pylist()]
+                    words = Blocks()
+                    places = [np.fromiter(map(words.__getitem__, t), dtype=np.int64, count=len(t)) for t in texts]
+                    flat, sizes = subwords.of(list(words))
+                    ids, lengths, _ = laid_out(places, np.cumsum(sizes) - sizes, sizes, flat, code.end)
+                    before = code.inputs[np.concatenate([[code.end], ids[:-1]])]
+                    before[np.cumsum(lengths) - lengths] = code.inputs[code.end]
+                    x, valid, scored, live = lm.gather(before, lm.windows(lengths))
+                    yield np.where(valid, x, -1).astype("<i2"), np.where(live, code.classes[ids][scored], -1).astype("<i2")
+
+        return run
+
+    def count(self) -> int:
+        made = self.made()
+
+        def run(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(x) for x, _ in made(batches))], pa.int64())], names=["n"])
+
+        return self.documents.select("text").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def gathered(parts: Iterator[tuple[np.ndarray, np.ndarray]], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same rows, in order, ``size`` at a time and what is left at last."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= size:
+            x, y = (np.concatenate(z) for z in zip(*held))
+            upto = n - n % size
+            for at in range(0, upto, size):
+                yield x[at : at + size], y[at : at + size]
+            held, n = [(x[upto:].copy(), y[upto:].copy())], n - upto
+    if n:
+        x, y = (np.concatenate(z) for z in zip(*held))
+        yield x, y
+
+
+def averaged(windows: Windows, model: lm.Model, rate: float, step: int, seed: int) -> lm.Model:
     """One round: every task trains on its windows from the same weights; the mean of their weights by windows."""
-    held = windows.sparkSession.sparkContext.broadcast(model.flat)
+    held = windows.documents.sparkSession.sparkContext.broadcast(model.flat)
+    made = windows.made()
 
     def run(batches):
         own, n = lm.Model(held.value.copy()), 0
         trainer = lm.Trainer(own, rate, step, seed)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                trainer.learn(*unpacked(part.column(0).to_pylist(), part.column(1).to_pylist()))
-                n += part.num_rows
+        for x, y in gathered(made(batches), 4096):
+            x, y = x.astype(np.int32), y.astype(np.int32)
+            trainer.learn(np.maximum(x, 0), x >= 0, np.maximum(y, 0), y >= 0)
+            n += len(x)
         if n:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([own.flat.tolist()], pa.list_(pa.float32())), pa.array([n], pa.int64())], names=["w", "n"]
             )
 
-    each = windows.select("x", "y").mapInArrow(run, "w array<float>, n long")
+    each = windows.documents.select("text").mapInArrow(run, "w array<float>, n long")
     mean = each.select("n", F.posexplode("w").alias("i", "w")).groupBy("i").agg(
         (F.sum(F.col("w").cast("double") * F.col("n")) / F.sum("n")).alias("w")
     )
@@ -234,7 +268,7 @@ def fit(documents: DataFrame, counts: np.ndarray, ranks: dict[bytes, int], held)
         # read by few enough tasks, however the table is dealt; nothing is moved
         tasks = max(1, int(windows * share / 16 / LEAST_WINDOWS))
         own = documents.filter((part >= low) & (part < low + share)).coalesce(tasks)
-        model = averaged(training_windows(own, held, shared), model, rate, step, seed=k)
+        model = averaged(Windows(own, held, shared), model, rate, step, seed=k)
         low += share
     return coding, model
 

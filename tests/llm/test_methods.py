@@ -108,6 +108,25 @@ def test_token_scores_equal_a_naive_forward_pass():
     assert got == pytest.approx(np.concatenate([naive_scores(model, coding, x) for x in parts]), abs=2e-4)
 
 
+def test_windows_are_gathered_in_order():
+    parts = [(np.arange(a, b), -np.arange(a, b)) for a, b in ((0, 3), (3, 3), (3, 20), (20, 21), (21, 29))]
+    got = list(lm_score.gathered(iter(parts), 5))
+    assert [len(x) for x, _ in got] == [5, 5, 5, 5, 5, 4] and np.concatenate([x for x, _ in got]).tolist() == list(range(29))
+    assert all((x == -y).all() for x, y in got) and not list(lm_score.gathered(iter([]), 5))
+
+
+def test_a_task_learns_in_one_worker(spark, monkeypatch):
+    """Windows are not handed from one Python worker to another: a round is one Arrow map over the texts."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plans, real = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or real(self))
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.col("id")).alias("text"), F.lit(False).alias("held_out"))
+    lm_score.scored(docs, public_tokenizers.path(lm_score.VOCABULARY))
+    rounds = [p for p in plans if "posexplode" in p]
+    assert len(rounds) == len(lm_score.ROUNDS) and all(p.count("MapInArrow") == 1 for p in rounds)
+
+
 def test_text_score_is_the_models_alone(spark):
     """A text's score is the sum over its ids under the fitted model; repeated rows, nulls and clashing names."""
     rows = [(1, "a b c a b c"), (2, "a b d"), (3, None), (4, ""), (5, "a b d"), (None, "zzz"), (None, "zzz"), (6, "ab " * 3000)]
