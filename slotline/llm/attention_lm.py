@@ -18,6 +18,8 @@ SPAN, STRIDE = 32, 16
 GROUPS, MEMBERS, TAILS = 32, 32, 64
 HEAD, INPUTS = GROUPS * MEMBERS - TAILS - 1, 2048
 WIDTH, HIDDEN = 16, 32
+TILE = 16  #: rows of one group of classes that are multiplied together in training
+SOME = 16_384  #: weights moved at once
 BATCH = 192  #: windows scored at once, few enough for their numbers to stay in a core's cache
 
 
@@ -87,6 +89,7 @@ class Model:
 
     def __init__(self, flat: np.ndarray):
         self.flat, at = np.ascontiguousarray(flat, dtype=np.float32), 0
+        self.slope: Model | None = None  # where ``gradient`` keeps its numbers from call to call
         self.p: dict[str, np.ndarray] = {}
         for name, shape in self.SHAPES.items():
             size = int(np.prod(shape))
@@ -110,26 +113,6 @@ class Model:
     #: how far back each key lies from each query; negative: after it
     BACK = (SPAN - STRIDE + np.arange(STRIDE))[:, None] - np.arange(SPAN)[None, :]
 
-    def hidden(self, x: np.ndarray, valid: np.ndarray):
-        p = self.p
-        e = p["embed"][x]
-        eq = e[:, SPAN - STRIDE :]
-        flat = e.reshape(-1, WIDTH)
-        q = (np.ascontiguousarray(eq).reshape(-1, WIDTH) @ p["query"]).reshape(-1, STRIDE, WIDTH)
-        k, v = (flat @ p["key"]).reshape(e.shape), (flat @ p["value"]).reshape(e.shape)
-        a = (q * np.float32(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
-        a += self._near()
-        if not valid.all():
-            a += np.where(valid, np.float32(0), np.float32(-1e9))[:, None, :]
-        np.clip(a, -60, 60, out=a)  # far from what weights reach, so that no maximum need be taken off
-        np.exp(a, out=a)
-        a /= (a @ np.ones(SPAN, dtype=np.float32))[:, :, None]
-        z = np.concatenate([eq, a @ v], axis=2)
-        h = z.reshape(-1, 2 * WIDTH) @ p["mix"]
-        h += p["mix0"]
-        np.maximum(h, 0, out=h)
-        return e, q, k, v, a, z, h
-
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """What each input row brings to a window: query, key, value as it is mixed in, and its own part of the mix. Positions
         enter through ``near`` alone, so these depend on the row only."""
@@ -138,106 +121,147 @@ class Model:
         return (e @ p["query"]) * np.float32(WIDTH**-0.5), e @ p["key"], e @ (p["value"] @ p["mix"][WIDTH:]), e @ p["mix"][:WIDTH] + p["mix0"]
 
     def scored(self, tables, x: np.ndarray, valid: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """``log_class`` from ``tables``: gathers in place of projections."""
+        """Natural log probabilities [n, STRIDE] of the target classes, from ``tables``: gathers in place of projections."""
         q, k, v, own = tables
         at = x[:, SPAN - STRIDE :]
-        a = q[at] @ k[x].transpose(0, 2, 1)
-        a += self._near()
+        a = self.shares(q.take(at, axis=0), k.take(x, axis=0), valid)
+        h = a @ v.take(x, axis=0)
+        h += own.take(at, axis=0)
+        np.maximum(h, 0, out=h)
+        return self.outputs(h.reshape(-1, HIDDEN), target.ravel()).reshape(target.shape)
+
+    def shares(self, q: np.ndarray, k: np.ndarray, valid: np.ndarray) -> np.ndarray:
+        """What each scored place takes from each input. ``q`` is scaled already."""
+        a = q @ k.transpose(0, 2, 1)
+        a += np.where(self.BACK >= 0, self.p["near"][np.maximum(self.BACK, 0)], np.float32(-1e9))
         if not valid.all():
             a += np.where(valid, np.float32(0), np.float32(-1e9))[:, None, :]
-        np.clip(a, -60, 60, out=a)
+        np.clip(a, -60, 60, out=a)  # far from what weights reach, so that no maximum need be taken off
         np.exp(a, out=a)
         a /= (a @ np.ones(SPAN, dtype=np.float32))[:, :, None]
-        h = a @ v[x]
-        h += own[at]
-        np.maximum(h, 0, out=h)
-        return self.outputs(h.reshape(-1, HIDDEN), target.ravel())[-1].reshape(target.shape)
-
-    def _near(self) -> np.ndarray:
-        return np.where(self.BACK >= 0, self.p["near"][np.maximum(self.BACK, 0)], np.float32(-1e9))
+        return a
 
-    def outputs(self, h: np.ndarray, target: np.ndarray):
-        """Exponentials of the groups' logits and, rows sorted by the target's group, of that group's members'; the
-        row order and each group's bounds in it; log probabilities of the targets."""
+    def outputs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log probabilities of the targets."""
         p = self.p
         group, member = target // MEMBERS, target % MEMBERS
-        rows = np.arange(len(h))
+        rows = np.arange(len(h)) * MEMBERS
         ones = np.ones(MEMBERS, dtype=np.float32)
         first = h @ p["group"]
         first += p["group0"]
         np.minimum(first, 60, out=first)
-        hit = first[rows, group]
+        hit = first.ravel().take(rows + group)
         np.exp(first, out=first)
         log = hit - np.log(first @ ones[:GROUPS])
         order = np.argsort(group.astype(np.int8), kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        dealt = h[order]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))]).tolist()
+        dealt = h.take(order, axis=0)
         second = np.empty((len(h), MEMBERS), dtype=np.float32)
-        for g in range(GROUPS):
-            a, b = bounds[g], bounds[g + 1]
+        for g, (a, b) in enumerate(zip(bounds, bounds[1:])):
             if a < b:
-                np.matmul(dealt[a:b], p["member"][g], out=second[a:b])
-                second[a:b] += p["member0"][g]
+                part = second[a:b]
+                np.matmul(dealt[a:b], p["member"][g], out=part)
+                part += p["member0"][g]
         np.minimum(second, 60, out=second)
-        hit = second[rows, member[order]]
+        hit = second.ravel().take(rows + member.take(order))
         np.exp(second, out=second)
         log[order] += hit - np.log(second @ ones)
-        return first, second, order, bounds, dealt, log
-
-    def log_class(self, x: np.ndarray, valid: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log probabilities [n, STRIDE] of the target classes."""
-        return self.outputs(self.hidden(x, valid)[-1], target.ravel())[-1].reshape(target.shape)
+        return log
 
     def gradient(self, x: np.ndarray, valid: np.ndarray, target: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, float]:
+        """The slope of the mean loss by each weight, and that loss. The slope is overwritten by the next call."""
         p = self.p
-        e, q, k, v, a, z, h = self.hidden(x, valid)
+        if self.slope is None:
+            self.slope = Model(np.zeros_like(self.flat))
+        g, scale = self.slope.p, np.float32(WIDTH**-0.5)
+        wide = lambda m: m.reshape(-1, WIDTH)
+        e = p["embed"].take(x, axis=0)
+        eq = wide(np.ascontiguousarray(e[:, SPAN - STRIDE :]))
+        q = (eq @ (p["query"] * scale)).reshape(-1, STRIDE, WIDTH)
+        k, v = (wide(e) @ p["key"]).reshape(e.shape), (wide(e) @ p["value"]).reshape(e.shape)
+        a = self.shares(q, k, valid)
+        context = wide(a @ v)
+        h = eq @ p["mix"][:WIDTH]
+        h += context @ p["mix"][WIDTH:]
+        h += p["mix0"]
+        np.maximum(h, 0, out=h)
+
         flat, weight = target.ravel(), (live.ravel() / max(1, int(live.sum()))).astype(np.float32)
-        first, second, order, bounds, dealt, log = self.outputs(h, flat)
+        group, member = flat // MEMBERS, flat % MEMBERS
+        ones = np.ones(max(len(h), SPAN, GROUPS, MEMBERS), dtype=np.float32)
+        first = h @ p["group"]
+        first += p["group0"]
+        np.minimum(first, 60, out=first)
+        hits = np.arange(len(h)) * GROUPS + group
+        log = first.ravel().take(hits)
+        np.exp(first, out=first)
+        total = first @ ones[:GROUPS]
+        log -= np.log(total)
+        first *= (weight / total)[:, None]
+        first.ravel()[hits] -= weight
+        # members: tiles of TILE rows of one group each, so that one call multiplies them all; rows that fill up weigh nothing
+        place, of = tiles(group)
+        dealt = np.zeros((len(of) * TILE, HIDDEN), dtype=np.float32)
+        dealt[place] = h
+        dealt = dealt.reshape(-1, TILE, HIDDEN)
+        members = p["member"].take(of, axis=0)
+        second = dealt @ members
+        second += p["member0"].take(of, axis=0)[:, None, :]
+        np.minimum(second, 60, out=second)
+        hits = place * MEMBERS + member
+        log += second.ravel().take(hits)
+        np.exp(second, out=second)
+        total = second.reshape(-1, MEMBERS) @ ones[:MEMBERS]
+        log -= np.log(total.take(place))
+        shift = np.zeros_like(total)
+        shift[place] = weight
+        second *= (shift / total).reshape(-1, TILE, 1)
+        second.ravel()[hits] -= weight
         loss = -float(log @ weight)
-        rows = np.arange(len(h))
-        first /= first.sum(axis=1, keepdims=True)
-        first[rows, flat // MEMBERS] -= 1
-        first *= weight[:, None]
-        second /= second.sum(axis=1, keepdims=True)
-        second[rows, flat[order] % MEMBERS] -= 1
-        second *= weight[order, None]
-        g = {"group": h.T @ first, "group0": first.sum(axis=0)}
+
+        np.matmul(h.T, first, out=g["group"])
+        np.matmul(ones[: len(h)], first, out=g["group0"])
+        own = (of == np.arange(GROUPS)[:, None]).astype(np.float32)  # a group's tiles
+        np.matmul(own, (dealt.transpose(0, 2, 1) @ second).reshape(len(of), -1), out=g["member"].reshape(GROUPS, -1))
+        np.matmul(own, ones[:TILE] @ second, out=g["member0"])
         dh = first @ p["group"].T
-        g["member"], g["member0"] = np.zeros(self.SHAPES["member"], np.float32), np.zeros(self.SHAPES["member0"], np.float32)
-        back = np.empty_like(h)
-        for i in range(GROUPS):
-            s, t = bounds[i], bounds[i + 1]
-            if s < t:
-                g["member"][i] = dealt[s:t].T @ second[s:t]
-                g["member0"][i] = second[s:t].sum(axis=0)
-                back[s:t] = second[s:t] @ p["member"][i].T
-        dh[order] += back
+        dh += (second @ members.transpose(0, 2, 1)).reshape(-1, HIDDEN).take(place, axis=0)
         dh *= h > 0
-        g["mix"] = z.reshape(-1, 2 * WIDTH).T @ dh
-        g["mix0"] = dh.sum(axis=0)
+        np.matmul(eq.T, dh, out=g["mix"][:WIDTH])
+        np.matmul(context.T, dh, out=g["mix"][WIDTH:])
+        np.matmul(ones[: len(h)], dh, out=g["mix0"])
         # whole matrices, contiguous, wherever numpy would else multiply one small one at a time
-        wide = lambda m: m.reshape(-1, WIDTH)
-        dz = dh @ p["mix"].T
-        dc = np.ascontiguousarray(dz[:, WIDTH:]).reshape(q.shape)
-        dv = a.transpose(0, 2, 1) @ dc
+        dc = (dh @ p["mix"][WIDTH:].T).reshape(q.shape)
+        dv = wide(a.transpose(0, 2, 1) @ dc)
         ds = dc @ v.transpose(0, 2, 1)
-        ds -= ((ds * a) @ np.ones(SPAN, dtype=np.float32))[:, :, None]
+        ds -= ((ds * a) @ ones[:SPAN])[:, :, None]
         ds *= a
-        per = np.where(self.BACK >= 0, ds.sum(axis=0), 0)
-        g["near"] = np.bincount(np.maximum(self.BACK, 0).ravel(), weights=per.ravel(), minlength=SPAN)
-        ds *= np.float32(WIDTH**-0.5)
+        per = np.where(self.BACK >= 0, (ones[: len(x)] @ ds.reshape(len(x), -1)).reshape(self.BACK.shape), 0)
+        g["near"][:] = np.bincount(np.maximum(self.BACK, 0).ravel(), weights=per.ravel(), minlength=SPAN)
         dq, dk = wide(ds @ k), wide(ds.transpose(0, 2, 1) @ q)
-        dv = wide(dv)
-        de = (dk @ p["key"].T + dv @ p["value"].T).reshape(e.shape)
-        de[:, SPAN - STRIDE :] += (dz[:, :WIDTH] + dq @ p["query"].T).reshape(q.shape)
-        g["query"] = wide(np.ascontiguousarray(e[:, SPAN - STRIDE :])).T @ dq
-        g["key"], g["value"] = wide(e).T @ dk, wide(e).T @ dv
-        order = np.argsort(x.ravel().astype(np.int16), kind="stable")
-        rows, first_of = np.unique(x.ravel()[order], return_index=True)
-        ge = np.zeros(self.SHAPES["embed"], dtype=np.float32)
-        ge[rows] = np.add.reduceat(wide(de)[order], first_of, axis=0)
-        g["embed"] = ge
-        return np.concatenate([g[s].ravel() for s in self.SHAPES]).astype(np.float32), loss
+        np.matmul(eq.T, dq, out=g["query"])
+        g["query"] *= scale
+        np.matmul(wide(e).T, dk, out=g["key"])
+        np.matmul(wide(e).T, dv, out=g["value"])
+        de = dk @ p["key"].T
+        de += dv @ p["value"].T
+        dz = dh @ p["mix"][:WIDTH].T
+        dz += dq @ (p["query"] * scale).T
+        de.reshape(e.shape)[:, SPAN - STRIDE :] += dz.reshape(q.shape)
+        cells = (x.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+        g["embed"][:] = np.bincount(cells, weights=de.ravel(), minlength=g["embed"].size).reshape(g["embed"].shape)
+        return self.slope.flat, loss
+
+
+def tiles(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows dealt to tiles of TILE rows of one group each: the place of each row in the tiles, and each tile's group."""
+    many = np.bincount(group, minlength=GROUPS)
+    each = -(-many // TILE)
+    order = np.argsort(group.astype(np.int8), kind="stable")
+    place = np.empty(len(group), dtype=np.int64)
+    skipped = (np.cumsum(each) - each) * TILE - (np.cumsum(many) - many)
+    place[order] = np.arange(len(group)) + np.repeat(skipped, many)
+    return place, np.repeat(np.arange(GROUPS), each)
 
 
 class Trainer:
@@ -247,24 +271,39 @@ class Trainer:
         self.model, self.rate, self.batch = model, rate, batch
         self.rng = np.random.default_rng(seed)
         self.first, self.second, self.steps = np.zeros_like(model.flat), np.zeros_like(model.flat), 0
+        self.spare = np.empty(SOME, dtype=np.float32)
 
     def learn(self, x, valid, target, live) -> float:
         """One pass over windows in random order; the mean loss in nats."""
         losses, order = [], self.rng.permutation(len(x))
         for at in range(0, len(order), self.batch):
             i = order[at : at + self.batch]
-            grad, loss = self.model.gradient(x[i], valid[i], target[i], live[i])
+            grad, loss = self.model.gradient(*(z.take(i, axis=0) for z in (x, valid, target, live)))
             losses.append(loss)
             self.steps += 1
-            self.first *= 0.9
-            self.first += 0.1 * grad
-            self.second *= 0.99
-            self.second += 0.01 * grad * grad
             t = min(self.steps, 1000)
             now = self.rate * min(1.0, t / 20) / np.sqrt(1.0 + self.steps / 1000)
-            self.model.flat -= now * (self.first / (1 - 0.9**t)) / (np.sqrt(self.second / (1 - 0.99**t)) + 1e-7)
+            root = np.sqrt(1 - 0.99**t)
+            self._move(grad, np.float32(now * root / (1 - 0.9**t)), np.float32(1e-6 * root))
         return float(np.mean(losses)) if losses else 0.0
 
+    def _move(self, grad: np.ndarray, rate: np.float32, least: np.float32) -> None:
+        """A step, some weights at a time, in place, so that their numbers stay in a core's cache. The moments are kept without
+        their factors 0.1 and 0.01, which cancel."""
+        for at in range(0, len(grad), SOME):
+            flat, first, second, new = (z[at : at + SOME] for z in (self.model.flat, self.first, self.second, grad))
+            spare = self.spare[: len(new)]
+            first *= 0.9
+            first += new
+            second *= 0.99
+            np.multiply(new, new, out=spare)
+            second += spare
+            np.sqrt(second, out=spare)
+            spare += least
+            np.divide(first, spare, out=spare)
+            spare *= rate
+            flat -= spare
+
 
 def token_scores(model: Model, coding: Coding, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """log10 probability of each id. ``ids``: texts laid end to end, each closed by the end id; lengths with it."""

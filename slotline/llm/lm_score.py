@@ -9,9 +9,10 @@ task reads as many of the table's parts as it needs to have LEAST_WINDOWS; beyon
 how the table is dealt, as other tasks' weights are averaged.
 
 How it runs. One pass turns texts into blocks of about ``BLOCK`` bytes, each with its own word list and its texts as
-places in that list. Word rows (one per block and distinct word) are summed by word with partial sums and joined with
-those sums, a join that Spark splits where a word stands in very many blocks; then they return by block. No row per
-occurrence is ever shuffled.
+places in that list. Word rows (one per block and distinct word) are summed by word with partial sums; each distinct word
+is made subwords once, beside its sum. Word rows are joined with those, a join that Spark splits where a word stands in very
+many blocks; then they return by block, as subwords. No row per occurrence is ever shuffled. A training task keeps the
+subwords of the last ``KEPT`` words that it met.
 
 A null or empty text has the end token alone. Very long texts are read whole and may make a block of their own.
 Without training texts N and V are 0 and the weights stay as they began; an empty table gives an empty result. Repeated
@@ -23,9 +24,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.core.broadcast import Broadcast
@@ -45,6 +48,7 @@ ROUNDS = ((1, 3e-2, 32), (3, 1.5e-2, 64), (12, 6e-3, 64))
 LEAST_WINDOWS = 65_536
 ROWS = 65_536  #: word rows in one Arrow batch
 SOME = 8_192  #: words made subwords at once
+KEPT = 150_000  #: words that a training task keeps with their subwords, before it begins anew
 
 
 class Blocks(dict):
@@ -139,22 +143,65 @@ def _subwords(held) -> Subwords:
     return machine(held.value, lambda: Subwords(held.value))
 
 
-def id_counts(vocabulary: DataFrame, held) -> DataFrame:
-    """(id, n) over all training words. ``vocabulary``: word, c."""
+def as_subwords(vocabulary: DataFrame, held) -> DataFrame:
+    """(word, c, ids): the ids of each word, packed. ``vocabulary``: word, c."""
 
     def run(batches):
-        subwords, total = _subwords(held), np.zeros(len(held.value))
+        release()
+        subwords = _subwords(held)
         for batch in batches:
-            flat, sizes = subwords.of(batch.column(0).to_pylist())
+            for at in range(0, batch.num_rows, SOME):
+                part = batch.slice(at, SOME)
+                flat, sizes = subwords.of(part.column(0).to_pylist())
+                ends = np.concatenate([[0], np.cumsum(sizes) * 4]).astype("<i4")
+                packed = pa.Array.from_buffers(
+                    pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(flat.astype("<u4"))]
+                )
+                yield pa.RecordBatch.from_arrays([*part.columns, packed], names=["word", "c", "ids"])
+
+    return vocabulary.select("word", "c").mapInArrow(run, "word binary, c long, ids binary")
+
+
+def unpacked(ids: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids end to end, and how many each word has."""
+    flat = np.frombuffer(b"".join(ids.to_pylist()), dtype="<u4")
+    return flat.astype(np.int64), pc.binary_length(ids).to_numpy().astype(np.int64) // 4
+
+
+def id_counts(vocabulary: DataFrame, size: int) -> DataFrame:
+    """(id, n) over all training words. ``vocabulary``: ids, c; ``size``: of the subwords' vocabulary."""
+
+    def run(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            flat, sizes = unpacked(batch.column(0))
             weight = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), sizes)
-            total += np.bincount(flat, weights=weight, minlength=len(total))
+            total += np.bincount(flat, weights=weight, minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
-    got = vocabulary.select("word", "c").mapInArrow(run, "id long, n double")
+    got = vocabulary.select("ids", "c").mapInArrow(run, "id long, n double")
     return got.groupBy("id").agg(F.sum("n").alias("n"))  # at most one row for each id of the vocabulary
 
 
+class Met:
+    """The words that a task has met, with their ids. ``of``: the subwords of new ones."""
+
+    def __init__(self, of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
+        self.of, self.words = of, Blocks()
+        self.flat, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def places(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """Each text's words as places among those met."""
+        if len(self.words) > KEPT:
+            self.__init__(self.of)
+        known = len(self.words)
+        found = [np.fromiter(map(self.words.__getitem__, t), dtype=np.int64, count=len(t)) for t in texts]
+        flat, sizes = self.of(list(islice(self.words, known, None)))
+        self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+        return found
+
+
 def laid_out(places: list[np.ndarray], starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray, end: int):
     """Texts as ids end to end, each closed by ``end``: ids, ids per text, and ids per word (the end is a word)."""
     words = np.concatenate([x for p in places for x in (p, [len(sizes)])]).astype(np.int64)
@@ -181,14 +228,12 @@ class Windows:
         held, coding = self.held, self.coding
 
         def run(batches):
-            subwords, code = _subwords(held), coding.value
+            met, code = Met(_subwords(held).of), coding.value
             for batch in batches:
                 for at in range(0, batch.num_rows, 64):
                     texts = [(t or "").encode("utf-8").lower().split() for t in batch.slice(at, 64).column(0).to_pylist()]
-                    words = Blocks()
-                    places = [np.fromiter(map(words.__getitem__, t), dtype=np.int64, count=len(t)) for t in texts]
-                    flat, sizes = subwords.of(list(words))
-                    ids, lengths, _ = laid_out(places, np.cumsum(sizes) - sizes, sizes, flat, code.end)
+                    places, sizes = met.places(texts), met.sizes
+                    ids, lengths, _ = laid_out(places, np.cumsum(sizes) - sizes, sizes, met.flat, code.end)
                     before = code.inputs[np.concatenate([[code.end], ids[:-1]])]
                     before[np.cumsum(lengths) - lengths] = code.inputs[code.end]
                     x, valid, scored, live = lm.gather(before, lm.windows(lengths))
@@ -282,14 +327,14 @@ def scored(documents: DataFrame, path: str) -> DataFrame:
     both = written(blocked(documents), "blocks")
     texts = both.filter(F.col("places").isNotNull()).select("block", "doc_id", "held_out", "n", "places")
     rows = both.filter(F.col("word").isNotNull()).select("block", "place", "word", "n")
-    vocabulary = written(rows.groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
-    rows = rows.drop("n").join(vocabulary, "word")
+    vocabulary = written(as_subwords(rows.groupBy("word").agg(F.sum("n").alias("c")), held), "vocabulary")
+    rows = rows.select("block", "place", "word").join(vocabulary, "word")
     known = vocabulary.filter(F.col("c") > 0)
     n_texts = texts.filter(~F.col("held_out")).count()
     total = known.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, distinct = total.n + n_texts, total.v + (n_texts > 0)
     counts = np.zeros(len(ranks) + 1)
-    for i, n in id_counts(known, held).collect():
+    for i, n in id_counts(known, len(ranks)).collect():
         counts[i] = n
     counts[-1] = n_texts
     coding, model = fit(documents.filter(~F.col("held_out")), counts, ranks, held)
@@ -302,7 +347,7 @@ def scored(documents: DataFrame, path: str) -> DataFrame:
         words = right.sort_by("place")
         c = np.append(words.column("c").to_numpy(), n_texts).astype(np.float64)
         base = np.log10((c + 0.5) / (n_train + floor))
-        flat, sizes = _subwords(held).of(words.column("word").to_pylist())
+        flat, sizes = unpacked(words.column("ids"))
         starts = np.cumsum(sizes) - sizes
         model = lm.Model(flat_weights)
         out = []
@@ -330,7 +375,7 @@ def scored(documents: DataFrame, path: str) -> DataFrame:
             names=names,
         )
 
-    listed = rows.select(F.col("block").alias("of"), "place", "word", "c")
+    listed = rows.select(F.col("block").alias("of"), "place", "ids", "c")
     return (
         texts.groupBy("block")
         .cogroup(listed.groupBy("of"))

@@ -4,9 +4,11 @@ import collections
 import hashlib
 import math
 import re
+import types
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -115,6 +117,54 @@ def test_windows_are_gathered_in_order():
     assert all((x == -y).all() for x, y in got) and not list(lm_score.gathered(iter([]), 5))
 
 
+def test_subwords_of_a_word_are_made_once(spark, monkeypatch):
+    """In training once a task, however many batches of texts hold the word, unless more than KEPT were met; in scoring once
+    in all, however many blocks hold it."""
+    held = types.SimpleNamespace(value=lm_score.read_ranks(public_tokenizers.path(lm_score.VOCABULARY)))
+    coding = attention_lm.Coding.from_counts(np.ones(len(held.value) + 1), [b"x"] * len(held.value))
+    batch = pa.RecordBatch.from_arrays([pa.array([f"these words are {i % 9}\n here {i}" if i % 7 else None for i in range(300)])], names=["text"])
+    asked, of = [], lm_score.Subwords.of
+    monkeypatch.setattr(lm_score.Subwords, "of", lambda self, words: asked.extend(words) or of(self, words))
+    made = lambda: [np.concatenate(z) for z in zip(*lm_score.Windows(None, held, types.SimpleNamespace(value=coding)).made()([batch]))]
+    x, y = made()
+    assert len(asked) == len(set(asked)) > 250 and len(x) == 300
+    monkeypatch.setattr(lm_score, "KEPT", 90)
+    asked.clear()
+    again = made()
+    assert len(asked) > len(set(asked)) and (x == again[0]).all() and (y == again[1]).all()
+
+    monkeypatch.setattr(lm_score, "BLOCK", 100)
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.col("id")).alias("text"), F.lit(False).alias("held_out"))
+    plan = lm_score.scored(docs, public_tokenizers.path(lm_score.VOCABULARY))._jdf.queryExecution().analyzed().toString()
+    grouped = next(line for line in plan.split("\n") if "FlatMapCoGroupsInArrow" in line)
+    assert "ids#" in grouped and "word#" not in grouped
+
+
+def test_training_steps_are_adams():
+    """Against the formula in float64, with a group of classes that no target is in and places that are not scored."""
+    rng = np.random.default_rng(4)
+    model = attention_lm.Model.start(rng.dirichlet(np.ones(1024)))
+    x, target = rng.integers(0, 2_000, (80, attention_lm.SPAN)), rng.integers(0, 500, (80, attention_lm.STRIDE))
+    valid, live = np.ones(x.shape, dtype=bool), rng.random(target.shape) > 0.2
+    plain, first, second = model.flat.astype(np.float64), 0, 0
+    order = np.random.default_rng(0).permutation(80)
+    for k in range(5):
+        i = order[k * 16 : k * 16 + 16]
+        grad = attention_lm.Model(plain).gradient(x[i], valid[i], target[i], live[i])[0].astype(np.float64)
+        first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
+        rate = 1e-2 * (k + 1) / 20 / math.sqrt(1 + (k + 1) / 1000)
+        plain = plain - rate * (first / (1 - 0.9 ** (k + 1))) / (np.sqrt(second / (1 - 0.99 ** (k + 1))) + 1e-7)
+    attention_lm.Trainer(model, 1e-2, 16).learn(x, valid, target, live)
+    assert np.abs(model.flat - plain).max() < 2e-5
+
+
+def test_tiles_hold_rows_of_one_group():
+    group = np.random.default_rng(2).choice([0, 3, 3, 3, 9, 31], 500)
+    place, of = attention_lm.tiles(group)
+    assert (of[place // attention_lm.TILE] == group).all() and len(set(place.tolist())) == 500
+    assert len(of) == sum(-(-int((group == g).sum()) // attention_lm.TILE) for g in range(attention_lm.GROUPS))
+
+
 def test_a_task_learns_in_one_worker(spark, monkeypatch):
     """Windows are not handed from one Python worker to another: a round is one Arrow map over the texts."""
     from pyspark.sql.classic.dataframe import DataFrame
