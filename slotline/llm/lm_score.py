@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from slotline.llm import attention_lm as lm
 from slotline.llm.byte_bpe import read_ranks
-from slotline.llm.common import fold, machine, release, table, written
+from slotline.llm.common import fold, machine, release, sweeping, table, written
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BLOCK = 12_000_000
@@ -327,7 +327,8 @@ def scored(documents: DataFrame, path: str) -> DataFrame:
     both = written(blocked(documents), "blocks")
     texts = both.filter(F.col("places").isNotNull()).select("block", "doc_id", "held_out", "n", "places")
     rows = both.filter(F.col("word").isNotNull()).select("block", "place", "word", "n")
-    vocabulary = written(as_subwords(rows.groupBy("word").agg(F.sum("n").alias("c")), held), "vocabulary")
+    with sweeping(spark):  # word rows that were summed are not to lie beside those that are joined
+        vocabulary = written(as_subwords(rows.groupBy("word").agg(F.sum("n").alias("c")), held), "vocabulary")
     rows = rows.select("block", "place", "word").join(vocabulary, "word")
     known = vocabulary.filter(F.col("c") > 0)
     n_texts = texts.filter(~F.col("held_out")).count()
