@@ -707,3 +707,20 @@ def test_registered_queries():
     from slotline.llm.queries import QUERIES
 
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
+
+
+def test_near_duplicates_keep_one_row_of_a_group(spark, sf):
+    """Rows without an id are compared like any other, and rows that share an id are told apart by their texts."""
+    import corpus_pipeline
+
+    prose = [" ".join(f"{name}{j}" for j in range(60)) for name in ("alpha", "beta", "gamma", "delta")]
+    rows = [
+        (None, prose[0]), (3, prose[0] + " more"), (None, prose[0] + " more"),  # 3 stays
+        (None, prose[1]), (None, prose[1] + " more"), (None, prose[1]),  # one stays, though none has an id
+        (7, prose[2]), (7, prose[2]), (7, prose[2] + " more"),  # one of them
+        (8, prose[3]), (3, prose[3] + " more"), (8, "something else of the same id"),  # another group's 3, and a text of its own
+    ]
+    docs = spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], FULL)
+    for given in (docs, docs.repartition(5).withColumn("text_key", F.lit("x"))):
+        got = collections.Counter((r.doc_id, r.text.split()[0]) for r in corpus_pipeline.near_duplicates(spark, given, sf).collect())
+        assert got == {(3, "alpha0"): 1, (None, "beta0"): 1, (7, "gamma0"): 1, (3, "delta0"): 1, (8, "something"): 1}
