@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,27 +59,49 @@ def settled_at(frame: DataFrame, path: str) -> DataFrame:
 
 
 def scan_captures(spark: SparkSession, root: str, host: str, prefix: str = "") -> DataFrame:
-    """A capture tree <root>/<camera>/<day>/<name> as a listing: only paths and sizes are read, never contents.
+    """A capture tree <root>/<camera>/<day>/<name> as a listing: only paths and sizes are read, never contents, and files
+    without a byte are listed as well.
 
-    ``prefix``: of the days to look at. Folders of other days are not listed. No such day is no error.
+    ``prefix``: of the days to look at. Folders of other days are not listed. No such day is no error. Tasks list the cameras'
+    folders, then the days', and the driver nothing; a task holds the names of one folder at a time. ``root`` must be in a
+    store that Arrow's file systems know.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jp*g")
-    try:
-        found = found.load(f"{root}/*/{prefix}*" if prefix else root)
-    except AnalysisException as error:
-        if not prefix or error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], LISTING)
-    part = F.split("path", "/")
-    return found.select(
-        F.lit(host).alias("host"),
-        F.element_at(part, -3).alias("camera"),
-        F.element_at(part, -2).alias("day_dir"),
-        F.element_at(part, -1).alias("name"),
-        F.col("length").alias("bytes"),
-    )
+
+    def folders(prefix: str, missing: bool):
+        def run(batches):
+            for batch in batches:
+                for folder in batch.column(0).to_pylist():
+                    below = [f.path for f in entries(folder, missing) if not f.is_file and f.base_name.startswith(prefix)]
+                    yield pa.RecordBatch.from_arrays([pa.array(below, pa.string())], names=["folder"])
+
+        return run
+
+    def entries(folder: str, missing: bool = False):
+        from pyarrow import fs
+
+        store = fs.FileSystem.from_uri(root)[0]
+        return store.get_file_info(fs.FileSelector(folder, allow_not_found=missing))
+
+    def files(batches):
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                camera, day = folder.split("/")[-2:]
+                found = [f for f in entries(folder) if f.is_file and PHOTO.fullmatch(f.base_name)]
+                for at in range(0, len(found), 10_000):
+                    part = found[at : at + 10_000]
+                    columns = [[host] * len(part), [camera] * len(part), [day] * len(part), [f.base_name for f in part], [f.size for f in part]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["host", "camera", "day_dir", "name", "bytes"])
+
+    from pyarrow import fs
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number, as few bytes become many names
+    top = spark.createDataFrame([(fs.FileSystem.from_uri(root)[1],)], "folder string")
+    cameras = top.mapInArrow(folders("", bool(prefix)), "folder string")
+    return cameras.repartition(tasks).mapInArrow(folders(prefix, False), "folder string").repartition(tasks).mapInArrow(files, LISTING)
 
 
+#: Names of captures, as the glob *.jp*g has them; those of drafts and hidden files are none.
+PHOTO = re.compile(r"[^._].*\.jp.*g", re.DOTALL)
 LISTING = "host string, camera string, day_dir string, name string, bytes long"
 
 

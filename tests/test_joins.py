@@ -204,3 +204,21 @@ def test_no_such_day_in_a_tree(spark, tmp_path):
     assert files.write_tree(frame.repartition(2), root) == 2
     assert [tuple(r) for r in files.scan_captures(spark, root, "a", "2026-07").collect()] == [("a", "gate", "2026-07-03", "2026-07-03_10:00:00.jpg", 2000)]
     assert files.scan_captures(spark, root, "a", "2027").count() == 0
+
+
+def test_captures_of_no_bytes_are_in_the_tree(spark, tmp_path):
+    """The registered query on events whose value is a multiple of the files' largest size, against its SQL."""
+    import duckdb
+
+    from slotline.plans import registry
+
+    events = spark.range(300).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-09 00:00:00' + make_dt_interval(0, 0, 0, id * 701) AS ts", "id % 7 AS user_id",
+        "if(id % 2 = 0, 'view', 'click') AS event_type", "if(id % 3 = 0, 40.96D * (id % 2), id / 8D) AS value", "'{}' AS props",
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        want = db.execute(registry.ORACLE["scan_captures"]).fetchall()
+    got = [tuple(r) for r in registry.QUERIES["scan_captures"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and sum(r[-1] == 0 for r in want) > 20
