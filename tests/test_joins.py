@@ -206,6 +206,21 @@ def test_no_such_day_in_a_tree(spark, tmp_path):
     assert files.scan_captures(spark, root, "a", "2027").count() == 0
 
 
+def test_a_tree_lists_empty_files_by_tasks(spark, tmp_path):
+    """Files without a byte are captures too; folders of other days, drafts and other files are not; the driver lists no folder."""
+    cameras, days = ["gate", "a b", "é:1"], ["2026-07-03", "2026-07-04", "2026-08-01"]
+    rows = [(c, d, f"{d}_10:00:0{i}.jpg", 0 if i == 1 else 100 * i) for c in cameras for d in days for i in range(4)]
+    frame = spark.createDataFrame(rows, "camera string, day_dir string, name string, bytes long")
+    root = f"file://{tmp_path}/tree"
+    assert files.write_tree(frame, root) == len(rows)
+    for other in (".2026-07-03_10:00:09.jpg", "_2026-07-03_10:00:09.jpg", "note.txt"):
+        (tmp_path / "tree" / "gate" / "2026-07-03" / other).write_bytes(b"x")
+    for prefix in ("2026-07", ""):
+        got = files.scan_captures(spark, root, "a", prefix)
+        assert sorted(tuple(r)[1:] for r in got.collect()) == sorted(r for r in rows if r[1].startswith(prefix))
+        assert {r.host for r in got.collect()} == {"a"} and not got.inputFiles()
+
+
 def test_captures_of_no_bytes_are_in_the_tree(spark, tmp_path):
     """The registered query on events whose value is a multiple of the files' largest size, against its SQL."""
     import duckdb
