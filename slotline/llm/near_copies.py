@@ -11,7 +11,8 @@ Groups. Equal fingerprints are one vertex. Vertices that share a chain are first
 where they are near enough, which joins dense groups with few links. The lookup then asks only for links between
 different groups; in a chain that holds more than ``LARGE`` vertices, members of its largest group are not compared
 with each other. So pairs within a group are never listed. Joins on a chain or a group have plain tables on both sides, so
-that Spark splits those that are large.
+that Spark splits those that are large. Spark sizes an exploded side as if each fingerprint were still one row, and would
+broadcast tens of rows for each: such joins are asked to merge.
 
 Null and empty texts have fingerprint zero, linked like any other. Texts shorter than a shingle are one shingle; those of
 any length are read whole. Repeated rows share a component. A row without an id is in its group, whose name is the
@@ -140,7 +141,7 @@ def pairs_with_pivots(fps: DataFrame, ring: Ring) -> DataFrame:
     )
     # written, so that the join below has no aggregation in it and Spark can split a chain that very many share
     pivots = written(pivots.filter(F.col("n") > 1), "pivots")
-    shared = rows.join(pivots, ["start", "bits"])
+    shared = rows.join(pivots.hint("merge"), ["start", "bits"])
     linked = shared.select(F.col("fp").alias("a"), F.explode(F.array("p1", "p2", "p3", "p4")).alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= ring.distance
     return linked.filter((F.col("a") != F.col("b")) & near).distinct()
@@ -175,7 +176,7 @@ def pairs_between(fps: DataFrame, ring: Ring) -> DataFrame:
         "bits",
         F.when(F.col("grp") == F.col("top"), 1).otherwise(0).alias("list"),
     )
-    found = probe.join(index, ["start", "bits", "list"]).filter(
+    found = probe.join(index.hint("merge"), ["start", "bits", "list"]).filter(
         (F.col("gx") != F.col("gy")) & ring.holds(F.col("x"), F.col("y"), F.col("start"))
     )
     return found.select(F.least("gx", "gy").alias("a"), F.greatest("gx", "gy").alias("b")).distinct()

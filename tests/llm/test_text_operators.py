@@ -396,6 +396,16 @@ def test_dense_group_is_one(spark):
             assert got[a] == got[b]
 
 
+def test_exploded_chains_are_not_broadcast(spark):
+    """However few bytes the fingerprints are, by Spark's sizes, their chains with all error patterns stay on the executors."""
+    fps = near_copies.written(spark.range(2000).select(F.xxhash64("id").alias("fp")).withColumn("grp", F.col("fp")), "fps")
+    ring = near_copies.Ring(4, 2)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("10485760")
+    for links, keys in ((near_copies.pairs_between(fps, ring), "start, bits, list"), (near_copies.pairs_with_pivots(fps, ring), "start, bits")):
+        plan = re.sub(r"#\d+L?", "", links._jdf.queryExecution().executedPlan().toString())
+        assert f"SortMergeJoin [{keys}], [{keys}]" in plan and f"BroadcastHashJoin [{keys}], [{keys}], Inner" not in plan
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.v: r.component for r in components.components(links).collect()}
