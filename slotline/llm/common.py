@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -38,6 +38,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table_
 
 
+def written_in_parts(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """All rows of ``parts`` as one table of ``written``. Each is made by itself: within ``sweeping``, what one has moved goes
+    before the next begins."""
+    path = None
+    for part in parts:
+        spark, schema = part.sparkSession, part.schema
+        path = path or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        part.write.mode("append").parquet(path)
+    table_ = spark.read.schema(schema).parquet(path)
+    table_.scratch = path
+    return table_
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of ``written`` that nothing reads any more. What a returned result still reads stays in the shared
     folder, which is the cluster's to clean."""

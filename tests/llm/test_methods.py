@@ -651,3 +651,40 @@ def test_near_copies_leave_neither_shuffles_nor_dead_tables(spark):
     assert moved() <= before and spark.conf.get(setting, None) == was
     assert {t.rsplit("-", 1)[0] for t in tables() - at_first} <= {"rows", "names", "named", "labels", "pivoted", "lists", "alike"}
     assert {r.doc_id: r.component_id for r in got.collect()} == {i: i - i % 3 for i, _ in rows}
+
+
+def test_near_copies_in_parts(spark, monkeypatch):
+    """Done in many parts, groups are the same; what later steps do not read is gone before texts are moved a second time."""
+    import os
+
+    from slotline.llm import near_shingles as near
+
+    rng, folder = np.random.default_rng(5), re.sub("^file:/*", "/", spark.conf.get("spark.checkpoint.dir"))
+    rows = []
+    for i in range(300):
+        words = [f"w{i // 3}x{j}" for j in range(60)]
+        if i % 3:
+            for at in rng.choice(60, i % 4, replace=False):
+                words[at] = f"edit{i}"
+        rows.append((i, " ".join(words)))
+    sets = [near.shingle_set(t, 5) for _, t in rows]
+    want = list(range(300))
+    for i in range(0, 300, 3):
+        for a, b in ((i, i + 1), (i, i + 2), (i + 1, i + 2), (i, i + 1), (i, i + 2)):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                want[a] = want[b] = min(want[a], want[b])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    at_first, seen, moves = set(os.listdir(folder)), [], near.sets_of
+    there = lambda: {t.rsplit("-", 1)[0] for t in set(os.listdir(folder)) - at_first}
+
+    def watched(*given):
+        seen.append((there(), *given[3:]))
+        return moves(*given)
+
+    monkeypatch.setattr(near, "sets_of", watched)
+    for name, value in (("FEW", 0), ("PARTS", 3), ("SIDE", 2), ("KEYS", 4)):
+        monkeypatch.setattr(near, name, value, raising=False)
+    assert {r.doc_id: r.component_id for r in near.linked(docs).collect()} == dict(enumerate(want)) and len(set(want)) > 100
+    assert len(seen) == 2 and not seen[1][0] & {"sets", "sketches", "shared", "grouped", "lists", "pivoted", "hashes", "listed"}
+    assert there() <= {"rows", "names", "named", "labels", "alike"} and [x[1:] for x in seen] == [(3,), (3,)]
